@@ -3,7 +3,7 @@
 A text longer than a chunk is cut into overlapping chunks, which tasks pre-tokenise
 independently.  A chunk that starts in the middle of a pre-token gets its first
 boundaries wrong, but the pattern only looks ahead: from the first boundary that two
-neighbouring chunks share, both go on alike.  The text is cut at those places, the
+neighbouring chunks share (after no white space), both go on alike.  The text is cut at those places, the
 pieces between are encoded in parallel, and the ids are put together in order.
 Where an overlap holds no shared boundary (one pre-token longer than it), the
 chunks on both sides are encoded as one piece, so results are always those of the
@@ -59,6 +59,16 @@ def boundaries(text: str, pattern: str, last: bool) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text) if m.start() <= sure]
 
 
+def cuts(text: str, pattern: str, last: bool) -> list[int]:
+    """Boundaries at which a text can be cut.
+
+    Not those after white space: how a run of it is divided depends on what follows.
+    """
+    import regex
+
+    return [b for b in boundaries(text, pattern, last) if b and not regex.match(r"\s", text[b - 1])]
+
+
 def _digest_short(ranks_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoding(ranks_path, pattern)
@@ -77,14 +87,14 @@ def _digest_short(ranks_path: str, pattern: str):
 
 
 def _edges(pattern: str, chunk: int):
-    """Boundaries of each chunk in the overlaps at its start and end, as places in the text."""
+    """Where each chunk can be cut in the overlaps at its start and end, as places in the text."""
 
     def run(batches):
         for batch in batches:
             heads, tails = [], []
             for i, n, text in zip(batch.column("i").to_pylist(), batch.column("n").to_pylist(), batch.column("part")):
                 text = text.as_py()
-                found = boundaries(text, pattern, i == n - 1)
+                found = cuts(text, pattern, i == n - 1)
                 over = len(text) - chunk
                 heads.append([i * chunk + b for b in found if 0 < i and b <= OVERLAP])
                 tails.append([i * chunk + b for b in found if i < n - 1 and b >= chunk and over > 0])

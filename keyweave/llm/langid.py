@@ -53,7 +53,8 @@ class TextModel:
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each trigram of letters and the number of the text it is in."""
-    texts = pc.utf8_lower(texts.cast(pa.large_string()))
+    space = pa.scalar(" ", pa.large_string())  # around each text, so that short words count
+    texts = pc.binary_join_element_wise(space, pc.utf8_lower(texts.cast(pa.large_string())), space, pa.scalar("", pa.large_string()))
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     if len(raw) < 3:
