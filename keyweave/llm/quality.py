@@ -1,6 +1,6 @@
 """Line-first quality rules (DataFrame functions only).
 
-Every line is judged by itself: punctuation (a sentence must end it), navigation
+Every line is judged by itself: punctuation (a sentence must end a short one), navigation
 (menu separators, or many short pieces) and boilerplate (phrases that sites repeat).
 Lines that fail go.  A document goes if its statistics fail (``base_failed``) or if
 the failed lines held more than ``max_lost`` of its words.
@@ -27,8 +27,10 @@ BOILERPLATE = (
     "subscribe to our newsletter",
     "lorem ipsum",
 )
-#: A line passes if it ends like a sentence, closing quotes and brackets allowed.
+#: A line passes if it ends like a sentence, closing quotes and brackets allowed,
 SENTENCE_END = r"[.!?…。！？:;;][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
+#: or is longer than headings and menu entries are (in words).
+LONG = 15
 #: Pieces between these make a line a menu.
 MENU = r"[|•·›»>][\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
@@ -42,7 +44,7 @@ def line_passes(line: Column) -> Column:
     menu = F.regexp_count(line, F.lit(MENU)) * 3 >= words
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) > words
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    good = line.rlike(SENTENCE_END) & ~(menu & line.rlike(MENU)) & ~symbols & ~boilerplate
+    good = (line.rlike(SENTENCE_END) | (words >= LONG)) & ~(menu & line.rlike(MENU)) & ~symbols & ~boilerplate
     return ~line.rlike(NOT_SPACE) | good
 
 

@@ -156,7 +156,7 @@ split AS (SELECT r, unnest(lines) AS line FROM docs),
 judged AS (
   SELECT r, line, len(regexp_extract_all(line, '{_WORD}+')) AS n, regexp_matches(line, '{_WORD}') AS spoken,
          len(regexp_extract_all(line, '[|•·›»>]{_SPACE}')) AS menus, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
-         regexp_matches(line, '[.!?…。！？:;;]["''”’»)\]]*{_SPACE}*\z') AS ended,
+         regexp_matches(line, '[.!?…。！？:;;]["''”’»)\]]*{_SPACE}*\z') OR len(regexp_extract_all(line, '{_WORD}+')) >= {quality.LONG} AS ended,
          regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}') AS boilerplate FROM split),
 summed AS (
   SELECT r, count(*) FILTER (spoken) - count(DISTINCT line) FILTER (spoken) AS n_dup_lines,
