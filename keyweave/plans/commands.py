@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import bits
 from ..operators import bitmaps, geosets, hashes, hll, keyspace, lists, sets, strings, zsets
-from ..streaming import pubsub, rooms
+from ..schemas import OPLOG
+from ..streaming import pubsub, queues, rooms
 
 
 def _timed(function: Callable) -> Callable:
@@ -23,6 +25,25 @@ def _on(relation: str, function: Callable) -> Callable:
     return lambda engine, *args, **kw: function(engine.relations[relation], *args, **kw)
 
 
+def _with(relation: str, function: Callable, **fixed) -> Callable:
+    return lambda engine, *args, **kw: function(engine.relations[relation], *args, **fixed, **kw)
+
+
+def _stored(relation: str, module, function: Callable) -> Callable:
+    """A command that stores its result: the relation with ``destination`` replaced."""
+    return lambda engine, destination, *args, **kw: module.stored(engine.relations[relation], destination, function(engine.relations[relation], *args, **kw))
+
+
+def _value(function: Callable) -> Callable:
+    """A command on the live strings' values: key and what the function makes of the value."""
+
+    def run(engine, *args):
+        kv = strings.live(engine.relations["string"], engine.now_ms)
+        return kv.select("key", function(kv["value"], *args).alias("value"))
+
+    return run
+
+
 def _stores(function: Callable) -> Callable:
     return lambda engine, *args, **kw: function({t: engine.relations[t] for t in keyspace.PRECEDENCE if t in engine.relations}, *args, **kw)
 
@@ -40,12 +61,25 @@ COMMANDS: dict[str, Callable] = {
     **_family("hash", hashes, {n.upper(): n for n in ("hget", "hmget", "hkeys", "hvals", "hexists", "hlen", "hset", "hsetnx", "hdel", "hincrby", "hincrbyfloat", "hscan")}),
     **_family("hash", hashes, {"HGETALL": "nested", "HMSET": "hset", "HASHSTATS": "stats"}),
     **_family("list", lists, {n.upper(): n for n in ("llen", "lrange", "lindex", "lpos", "ltrim", "lset", "lrem", "linsert", "rpoplpush")}),
-    **_family("list", lists, {"PUSH": "push", "POP": "pop", "BPOP": "bpop", "BRPOPLPUSH": "rpoplpush", "LISTSTATS": "stats"}),
+    **_family("list", lists, {"BRPOPLPUSH": "rpoplpush", "BLPOP": "bpop", "LISTSTATS": "stats"}),
+    "LPUSH": _with("list", lists.push, left=True),
+    "RPUSH": _with("list", lists.push),
+    "LPUSHX": _with("list", lists.push, left=True, only_existing=True),
+    "RPUSHX": _with("list", lists.push, only_existing=True),
+    "LPOP": _with("list", lists.pop),
+    "RPOP": _with("list", lists.pop, right=True),
+    "BRPOP": _with("list", lists.bpop, right=True),
     **_family("set", sets, {n.upper(): n for n in ("sismember", "smembers", "scard", "sinter", "sunion", "sdiff", "sadd", "srem", "smove", "spop", "srandmember", "sscan")}),
     **_family("set", sets, {"SETSTATS": "stats"}),
     **_family("zset", zsets, {n.upper(): n for n in ("zrank", "zrevrank", "zrange", "zrevrange", "zrangebyscore", "zcount", "zcard", "zscore", "zmscore", "zpopmin", "zpopmax", "zremrangebyrank", "zremrangebyscore", "zrem", "zincrby", "zadd", "zunion", "zinter", "zdiff", "zscan")}),
     **_family("zset", zsets, {"BZPOPMIN": "bzpop", "ZSETSTATS": "stats"}),
-    "BZPOPMAX": lambda engine, keys: zsets.bzpop(engine.relations["zset"], keys, largest=True),
+    "BZPOPMAX": _with("zset", zsets.bzpop, largest=True),
+    **{f"S{n}STORE": _stored("set", sets, getattr(sets, f"s{n.lower()}")) for n in ("INTER", "UNION", "DIFF")},
+    **{f"Z{n}STORE": _stored("zset", zsets, getattr(zsets, f"z{n.lower()}")) for n in ("INTER", "UNION", "DIFF")},
+    "APPEND": _value(strings.append),
+    "GETRANGE": _value(strings.get_range),
+    "SETRANGE": _value(strings.set_range),
+    "BITFIELD": _value(bits.field_get),
     **_family("bitmap", bitmaps, {n.upper(): n for n in ("setbit", "getbit", "bitcount", "bitpos", "bitop")}),
     **_family("bitmap", bitmaps, {"BITMAPSTATS": "stats"}),
     **_family("sketch", hll, {"PFCOUNT": "pfcount", "PFMERGE": "pfmerge", "HLLSTATS": "stats"}),
@@ -59,14 +93,47 @@ COMMANDS: dict[str, Callable] = {
     "MEMORY": _stores(keyspace.memory_usage),
     "RENAME": lambda engine, kind, *args: keyspace.rename(engine.relations[kind], *args),
     "RENAMENX": lambda engine, kind, *args: keyspace.rename(engine.relations[kind], *args, only_new=True),
+    "INCRBY": lambda engine, deltas: strings.incremented(deltas),
+    "DECRBY": lambda engine, deltas: strings.decremented(deltas),
+    "MSET": lambda engine, writes: strings.set_latest(writes),
+    "GETSET": lambda engine, writes: strings.get_set(writes),
     "COPY": lambda engine, kind, *args, **kw: keyspace.copy(engine.relations[kind], *args, **kw),
     **_family("room", rooms, {"SREAD": "consume", "XREAD": "consume", "XRANGE": "consume", "SLIST": "rooms", "SSTATS": "room_stats"}),
     **_family("topic", rooms, {"CONSUMEPARTITION": "consume_partition", "CONSUMEALL": "consume_all", "TOPICSTATS": "topic_stats"}),
     "PUBLISH": lambda engine, messages: pubsub.route_table(messages, engine.relations["subscription"]),
     "TOPICS": _on("subscription", pubsub.topics),
+    "SUBSCRIBE": _on("subscription", pubsub.subscribe),
+    "PSUBSCRIBE": _on("subscription", pubsub.subscribe),
     "UNSUBSCRIBE": _on("subscription", pubsub.unsubscribe),
+    "QCONSUME": lambda engine, operations, *args: queues.outcomes(operations, *args),
+    "QSTATS": lambda engine, operations, *args: queues.stats(queues.outcomes(operations, *args)),
+    "QLIST": lambda engine, operations: operations.select("queue").distinct(),
 }
 
+#: Operations that are written to the log and take effect when it is folded.
+WRITES = (
+    "SET", "DEL", "INCRBY", "APPEND", "GETSET", "EXPIRE", "PERSIST", "ZADD", "ZINCRBY", "ZREM", "HSET", "HDEL", "SADD", "SREM",
+    "LPUSH", "RPUSH", "LPOP", "RPOP",
+)
+
+# How a collection's name before the dot changes the command after it.
+FAMILIES = {"hash": "H", "set": "S"}
+SYNONYMS = {
+    "set.size": "SCARD", "list.range": "LRANGE", "list.len": "LLEN", "list.index": "LINDEX", "list.set": "LSET", "list.trim": "LTRIM",
+    "stream.consume": "SREAD", "stream.list": "SLIST", "stream.stats": "SSTATS", "kv.stats": "KVSTATS", "list.stats": "LISTSTATS",
+    "set.stats": "SETSTATS", "hash.stats": "HASHSTATS", "sortedset.stats": "ZSETSTATS", "bitmap.stats": "BITMAPSTATS",
+    "hyperloglog.stats": "HLLSTATS", "geospatial.stats": "GEOSTATS", "queue.consume": "QCONSUME", "queue.stats": "QSTATS",
+    "queue.list": "QLIST", "key.exists": "KEYEXISTS", "memory.usage": "MEMORY", "pubsub.topics": "TOPICS",
+}
+
+
+def command_name(command: str) -> str:
+    """``hash.get`` is HGET, ``sortedset.zrange`` ZRANGE, ``kv.get`` GET."""
+    family, dot, name = command.lower().rpartition(".")
+    if not dot:
+        return command.upper()
+    return SYNONYMS.get(command.lower()) or FAMILIES.get(family, "") + name.upper()
+
 
 @dataclass
 class Engine:
@@ -77,7 +144,14 @@ class Engine:
 
     def run(self, command: str, *args, **kw) -> DataFrame | tuple[DataFrame, DataFrame]:
         """What the command reads, or the relations after what it writes; KeyError if there is no such command."""
-        name = command.rpartition(".")[2].upper()
+        name = command_name(command)
         if name not in COMMANDS:
             raise KeyError(f"unknown command {command}")
         return COMMANDS[name](self, *args, **kw)
+
+    def write(self, spark: SparkSession, seq: int, command: str, key: str, *, member: bytes | None = None, value: bytes | None = None, num: float | None = None, args: dict | None = None) -> DataFrame:
+        """The command as a row for the operation log."""
+        name = command_name(command)
+        if name not in WRITES:
+            raise KeyError(f"{command} is no operation of the log")
+        return spark.createDataFrame([(seq, self.now_ms, name, key, member, value, num, args)], OPLOG)

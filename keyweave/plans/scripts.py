@@ -7,6 +7,8 @@ import inspect
 import json
 from collections.abc import Callable
 
+from pyspark.sql import SparkSession
+
 
 class NoScript(LookupError):
     """No function was loaded under this SHA-1."""
@@ -41,5 +43,9 @@ class Scripts:
             raise NoScript(sha)
         return json.loads(json.dumps(self._loaded[sha](self._call, list(keys), list(args))))
 
+    def kill(self, spark: SparkSession, tag: str) -> None:
+        """Cancels the jobs a script runs under ``spark.addTag(tag)``."""
+        spark.interruptTag(tag)
+
     def eval(self, function: Callable, keys: list[str], args: list):
         return self.evalsha(self.load(function), keys, args)

@@ -49,6 +49,14 @@ def route_table(messages: DataFrame, subscriptions: DataFrame, topic: str = "top
     return route(messages, exact, [(r["subscriber_id"], r["pattern"]) for r in rows], topic)
 
 
+def subscribe(subscriptions: DataFrame, subscriber: str, patterns: list[str]) -> DataFrame:
+    """The caller names the subscriber; a pattern is held once. Patterns that can't match raise ValueError."""
+    for pattern in patterns:
+        topic_regex(pattern)
+    new = subscriptions.sparkSession.createDataFrame([(subscriber, p) for p in patterns], "subscriber_id string, pattern string")
+    return subscriptions.select("subscriber_id", "pattern").unionByName(new).distinct()
+
+
 def unsubscribe(subscriptions: DataFrame, subscriber: str, patterns: list[str] | None = None) -> DataFrame:
     gone = F.col("subscriber_id") == subscriber
     return subscriptions.filter(~(gone & F.col("pattern").isin(patterns) if patterns is not None else gone))

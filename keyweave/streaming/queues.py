@@ -111,6 +111,11 @@ class Queue:
             return row["id"], self.nack(row["id"], bool(row["requeue"])), None
         if op == "purge":
             return None, f"purged {self.purge()}", None
+        if op == "create":  # a queue that is there stays as it is
+            return None, "created", None
+        if op == "delete":
+            self.ready, self.pending, self.dead = [], {}, []
+            return None, "deleted", None
         if op == "sweep":
             return None, "swept", None
         return row["id"], "unknown operation", None
