@@ -20,9 +20,6 @@ from pyspark.sql import Window as W
 
 from .stage import drop_staged, numbered, staged, word_count
 
-#: Rows of one source that a hash bucket holds on average, at most 16**6 buckets.
-BUCKET_ROWS = 50_000
-
 
 def cyclic_weights(weights: tuple[float, ...] = (5, 2, 1)):
     """A weight function: sources by code point, null last, take the weights in turn."""
@@ -63,12 +60,14 @@ def water_fill(sources: DataFrame, total: float | None = None, max_epochs: int =
     return sources.withColumn("target", F.least(F.lit(share) * F.col("weight"), room.cast("double")))
 
 
-def plan_mix(docs: DataFrame, *, weigh=None, total: float | None = None, max_epochs: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def plan_mix(docs: DataFrame, *, weigh=None, total: float | None = None, max_epochs: int = 3, seed: int = 7, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The sizes of the documents, and for each source what is taken of it.
 
     Returns sizes(doc_id, source, size, key) and
     sources(source, source_size, weight, target, whole, last_key): every document is
     taken ``whole`` times, and once more if its key is not above ``last_key``.
+    ``digits`` of the key make a bucket: by default about as many buckets as a bucket of
+    the largest source has rows, so that neither is a task's burden.
     """
     sizes = staged(
         docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), seeded_key(F.col("doc_id"), F.col("text"), seed).alias("key")),
@@ -85,10 +84,11 @@ def plan_mix(docs: DataFrame, *, weigh=None, total: float | None = None, max_epo
         .withColumn("__rest", F.col("target") - F.col("whole") * size),
         "filled",
     )
-    largest = filled.agg(F.max("__rows")).first()[0] or 0
-    digits = 1
-    while digits < 6 and largest > BUCKET_ROWS * 16**digits:
-        digits += 1
+    if digits is None:
+        largest = filled.agg(F.max("__rows")).first()[0] or 0
+        digits = 1
+        while largest > 16 ** (2 * digits):
+            digits += 1
     bucket = F.substring("key", 1, digits)
     sums = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

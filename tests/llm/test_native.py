@@ -69,11 +69,11 @@ def test_mix_edges(spark):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
-def test_buckets_do_not_change_the_sample(spark, monkeypatch):
+@pytest.mark.parametrize("digits", [1, 4])
+def test_buckets_do_not_change_the_sample(spark, digits):
     c = corpus(spark, 3)
-    before = sorted((r.doc_id, r.copies) for r in mixing.mix(c).collect())
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
-    assert sorted((r.doc_id, r.copies) for r in mixing.mix(c).collect()) == before
+    copies = lambda **o: sorted((r.doc_id, r.copies) for r in mixing.mix(c, **o).collect())
+    assert copies(digits=digits) == copies()
 
 
 # quality -----------------------------------------------------------------------------
