@@ -385,7 +385,7 @@ def set_srandmember(s, d):
     return sets.srandmember(ks.sets(s, d), 4, seed=9).select("key", text("member"))
 
 
-@query("SELECT key, member, CASE WHEN n > 20 THEN 20 ELSE 0 END AS next_cursor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r, count(*) OVER (PARTITION BY key) AS n FROM set_) WHERE r BETWEEN 11 AND 20 AND starts_with(member, '1')")
+@query("SELECT key, member, CAST(CASE WHEN n > 20 THEN 20 ELSE 0 END AS BIGINT) AS next_cursor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r, count(*) OVER (PARTITION BY key) AS n FROM set_) WHERE r BETWEEN 11 AND 20 AND starts_with(member, '1')")
 def set_sscan(s, d):
     return sets.sscan(ks.sets(s, d), 10, 10, "1*").select("key", text("member"), "next_cursor")
 
@@ -492,7 +492,7 @@ def zset_zdiffstore(s, d):
     return zsets.stored(ks.zsets(s, d), "rest", zsets.zdiff(ks.user_scores(s, d), ["view", "signup"])).select("key", text("member"), "score")
 
 
-@query("SELECT key, member, score, CASE WHEN n > 12 THEN 12 ELSE 0 END AS next_cursor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r, count(*) OVER (PARTITION BY key) AS n FROM zset) WHERE r BETWEEN 5 AND 12")
+@query("SELECT key, member, score, CAST(CASE WHEN n > 12 THEN 12 ELSE 0 END AS BIGINT) AS next_cursor FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS r, count(*) OVER (PARTITION BY key) AS n FROM zset) WHERE r BETWEEN 5 AND 12")
 def zset_zscan(s, d):
     return zsets.zscan(ks.zsets(s, d), 4, 8).select("key", text("member"), "score", "next_cursor")
 
