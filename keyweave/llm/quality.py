@@ -34,6 +34,7 @@ LONG = 15
 #: Pieces between these make a line a menu.
 MENU = r"[|•·›»>][\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words")
 #: Share of a document's words that failing lines may hold.
 MAX_LOST = 0.5
 
@@ -101,10 +102,12 @@ def judge(docs: DataFrame, *, max_lost: float = MAX_LOST, clean_column: str | No
         }
     )
     kept = ~F.col("__base_failed") & (F.col("__n_lost_words") <= F.lit(max_lost) * F.col("__n_words"))
-    df = df.withColumn("__kept", kept)
+    found = [F.col(f"__{n}").alias(f"__{n}") for n in STATISTICS] + [kept.alias("__kept")]
     if clean_column:
-        df = df.withColumn(clean_column, F.array_join("__good", "\n"))
-    return df.drop("__words", "__lines", "__spoken", "__good", "__repeat")
+        found.append(F.array_join("__good", "\n").alias(clean_column))
+    # a generator gives the results out: a later filter on them stays above it, where else
+    # it would be pushed down and copies of their expressions evaluated for every word
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*found))))
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:
