@@ -236,7 +236,7 @@ def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, recall: float =
         for r, (own, _) in zip(sample, index.places(_unit([r["embedding"] for r in sample]))):
             spread[(r["label"], *own)] = spread.get((r["label"], *own), 0) + 1
         # tasks a cell's vectors are dealt to, by the share of them the sample holds
-        spread = {k: min(64, math.ceil(v * many / len(drawn) / (8 * block))) for k, v in spread.items()}
+        spread = {k: min(64, math.ceil(v * many / len(drawn) / block)) for k, v in spread.items()}
         spread = {k: v for k, v in spread.items() if v > 1}
     cell = CELL.format(label=label)
     filed = classes.select("label", "node", "copies", "embedding").mapInArrow(_file(index, spread), f"{cell}, role int, salt long, node long, copies long, vector binary")

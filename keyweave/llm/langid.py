@@ -184,13 +184,13 @@ def _fuse(scored: DataFrame, priors: DataFrame, whole: list[float], languages: t
     weight = F.aggregate(F.transform("__logs", lambda x: F.exp(x - F.col("__best"))), F.lit(0.0), lambda a, x: a + x)
     letters = F.col("__letters") > 0
     at = lambda values, best: F.get(names, (F.array_position(values, best) - 1).cast("int"))
-    return joined.withColumns(
-        {
-            "__lang": F.when(letters, at(F.col("__logs"), F.col("__best"))).otherwise("und"),
-            "__probability": F.when(letters, 1 / weight).otherwise(0.0),
-            "__text_lang": F.when(letters, at(F.col("__scores"), F.array_max("__scores"))).otherwise("und"),
-        }
+    found = F.struct(
+        F.when(letters, at(F.col("__logs"), F.col("__best"))).otherwise("und").alias("__lang"),
+        F.when(letters, 1 / weight).otherwise(0.0).alias("__probability"),
+        F.when(letters, at(F.col("__scores"), F.array_max("__scores"))).otherwise("und").alias("__text_lang"),
     )
+    # given out by a generator, so that filters on them are not pushed below and evaluated anew
+    return joined.select("*", F.inline(F.array(found)))
 
 
 def _kept(allowed: tuple[str, ...] | None) -> Column:
