@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def shared_dir(spark: SparkSession) -> str:
     app = sc.applicationId
     if app not in _OWN:
         if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="stages-")
+            folder = tempfile.mkdtemp(prefix="stages-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _OWN[app] = "file://" + folder
         else:
             _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
     return _OWN[app]
