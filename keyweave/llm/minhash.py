@@ -6,20 +6,24 @@ two k-mers of smallest hash in the order the text has them, so that texts agree
 an entry about as often as their edit similarity suggests.
 
 1. Equal word sequences are one class; only a class's first document is sketched on.
-2. Documents that share an entry are each aligned with the smallest of them: as many
-   pairs as rows, whatever the size of the group.
-3. Those pairs that pass join their documents into components.  Wherever a band (two
-   entries) still holds documents of several components, all pairs of documents of
-   different components are aligned, so that no link is missed for having been
-   compared with one leader alone.
+2. The leader of an entry is the smallest document that has it.  Every document is
+   aligned with the smallest of its leaders, then with those leaders that are not in
+   its component yet: at most as many pairs as entries, whatever the size of a group.
+3. Wherever a band (two entries) still holds documents of several components, all its
+   documents of different components are compared, block against block, so that no
+   link is missed for having been compared with leaders alone.  Only links come out.
 4. The components of all links are the groups of near-duplicates.
 
-Two texts are linked if the edit distance of their words is at most 0.2 of the longer
-one.  No bucket, group or number of partners is capped.
+Two texts are linked if a banded alignment finds an edit distance of at most 0.1 of
+the longer one's words, or of at most 0.2 where their 5-word shingles (occurrences
+told apart) have a Jaccard similarity of 0.8.  So scattered edits and passages put in
+or cut off both count, and texts that merely share a long passage don't.  No bucket,
+group or number of partners is capped.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +36,10 @@ from .components import components
 from .stage import drop_staged, staged
 
 K = 5
+#: Of shingles, and (1 less twice this distance) of words.
 SIMILARITY = 0.8
+#: Documents of a band that are compared at once.
+BLOCK = 128
 #: Sketch entries; two make a band.
 ENTRIES = 32
 #: Words whose hashes a worker remembers.
@@ -166,31 +173,116 @@ def edit_distance(a: list, b: list, band: int) -> int | None:
     return distance if distance <= band else None
 
 
-def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    x, y = a.split(), b.split()
-    band = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
-    return edit_distance(x, y, band) is not None
+class Text:
+    """A text as words, with what comparing it takes, counted once."""
+
+    def __init__(self, text: str) -> None:
+        self.words = text.split()
+        self.bag = Counter(self.words)
+        self._shingles: Counter | None = None
+
+    @property
+    def shingles(self) -> Counter:
+        if self._shingles is None:
+            w, k = self.words, min(K, len(self.words))
+            self._shingles = Counter(zip(*[w[j:] for j in range(k)]))
+        return self._shingles
+
+
+def _common(a: Counter, b: Counter) -> int:
+    if len(b) < len(a):
+        a, b = b, a
+    return sum(min(n, b[x]) for x, n in a.items() if x in b)
+
+
+def similar(a: Text, b: Text, similarity: float = SIMILARITY) -> bool:
+    """The link between two texts; the alignment comes last, where counts leave it open."""
+    longer = max(len(a.words), len(b.words))
+    wide = int((1 - similarity) * longer + 1e-9)
+    narrow = wide // 2
+    alike = _common(a.bag, b.bag)
+    if alike >= longer - narrow and edit_distance(a.words, b.words, narrow) is not None:
+        return True
+    if alike < longer - wide:
+        return False
+    shared = _common(a.shingles, b.shingles)
+    union = a.shingles.total() + b.shingles.total() - shared
+    return shared >= similarity * union - 1e-9 and edit_distance(a.words, b.words, wide) is not None
 
 
 def _verify(similarity: float):
     def run(batches):
         for batch in batches:
-            good = [similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("text_a"), batch.column("text_b"))]
+            last, text, good = None, None, []
+            for x, y in zip(batch.column("text_a"), batch.column("text_b")):
+                if x.as_py() != last:  # a leader's rows mostly follow one another
+                    last = x.as_py()
+                    text = Text(last)
+                good.append(similar(text, Text(y.as_py()), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
+def _verify_blocks(similarity: float):
+    """Links within a block (``other`` null) or between two blocks of a band's documents.
+
+    A pair of documents is compared in the first band they share, if their components
+    differ; of the links that join the same documents twice only the first is told.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for band, one, other in zip(*[batch.column(c).to_pylist() for c in ("band", "members", "other")]):
+                left = [m | {"text": Text(m["text"]), "bands": np.array(m["entries"]).reshape(-1, 2)} for m in one]
+                right = left if other is None else [m | {"text": Text(m["text"]), "bands": np.array(m["entries"]).reshape(-1, 2)} for m in other]
+                root: dict = {}
+
+                def find(k):
+                    while root.setdefault(k, k) != k:
+                        root[k] = k = root[root[k]]
+                    return k
+
+                for i, x in enumerate(left):
+                    for y in right[:i] if other is None else right:
+                        p, q = find(x["component"]), find(y["component"])
+                        if p == q or min(x["n"], y["n"]) < (similarity - 1e-9) * max(x["n"], y["n"]):
+                            continue
+                        if (x["bands"] == y["bands"]).all(axis=1).argmax() != band:
+                            continue
+                        if similar(x["text"], y["text"], similarity):
+                            root[max(p, q)] = min(p, q)
+                            found.append(sorted((x["node"], y["node"])))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of ``nodes`` (doc_id), which are moved once and then read from a table.
+
+    Always a merge join: the nodes grow with the documents, so no size of theirs is a
+    bound, and the plan should not depend on it.
+    """
+    needed = nodes.distinct().hint("merge")
+    found = docs.join(needed, "doc_id", "left_semi")
+    return staged(found.groupBy("doc_id").agg(F.min("__text").alias("__text")), "texts")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts align. The texts of the documents in pairs only are moved."""
+    """The pairs (a, b) whose texts align."""
     kind = pairs.schema["a"].dataType.simpleString()
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = staged(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__text").alias("__text")), "texts")
-    left, right = own.select(F.col("doc_id").alias("a"), F.col("__text").alias("text_a")), own.select(F.col("doc_id").alias("b"), F.col("__text").alias("text_b"))
+    left, right = texts.select(F.col("doc_id").alias("a"), F.col("__text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("__text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    linked = staged(both.mapInArrow(_verify(similarity), f"a {kind}, b {kind}"), "linked")
-    drop_staged(own)
-    return linked
+    return staged(both.mapInArrow(_verify(similarity), f"a {kind}, b {kind}"), "linked")
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose documents are in different components."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"__{side}"))
+    named = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return named.filter(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
 
 
 def _alike(n: str, m: str, similarity: float):
@@ -213,28 +305,43 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, entries:
     first = compared.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "entries")).alias("f"))
     classes = staged(first.select("digest", F.col("f.doc_id").alias("node"), F.col("f.n").alias("n"), F.col("f.entries").alias("entries")), "classes")
 
-    # every document beside the smallest that shares an entry
+    # every document beside the smallest that shares an entry with it
     each = classes.select("node", "n", F.explode("entries").alias("key"))
     lead = each.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     lead = staged(lead.select("key", "a", "m"), "leaders")
     pairs = each.join(lead, "key").filter(F.col("node") != F.col("a")).filter(_alike("n", "m", similarity))
     pairs = staged(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs")
-    linked = _linked(pairs, texts, similarity)
-    groups = staged(components(linked), "groups")
+    near = _texts_of(texts, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+    # with the smallest of those first: it joins most of a large group at once
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = _linked(first, near, similarity)
+    groups = staged(components(links), "groups")
+    # then with those of other components, beside which the first said nothing
+    rest = _apart(pairs.join(first, ["a", "b"], "left_anti"), groups)
+    links = staged(links.unionByName(_linked(staged(rest, "apart"), near, similarity)), "links")
+    groups = staged(components(links), "groups")
 
-    # where a band still holds several components, all pairs between them
+    # where a band still holds several components, all documents of different ones
     named = classes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "entries")
     bands = F.transform(F.sequence(F.lit(0), F.lit(entries // 2 - 1)), lambda i: F.xxhash64(i, F.get("entries", 2 * i), F.get("entries", 2 * i + 1)))
-    banded = named.select("node", "n", "component", F.explode(bands).alias("key"))
-    mixed = banded.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    members = staged(banded.join(staged(mixed, "mixed"), "key", "left_semi"), "members")
-    x, y = members.alias("x"), members.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _alike("x.n", "y.n", similarity)
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    links = linked.unionByName(_linked(rest, texts, similarity))
-    groups = staged(components(links), "groups")
-    drop_staged(lead, pairs, members, rest)
+    banded = named.select("node", "n", "component", "entries", F.posexplode(bands).alias("band", "key"))
+    mixed = banded.select("key", "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
+    mixed = staged(mixed.filter("low < high").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")), "mixed")
+    members = banded.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = staged(members.select("key", "band", "part", "node", "n", "component", "entries"), "members")
+    unread = staged(members.select(F.col("node").alias("doc_id")).distinct().join(near, "doc_id", "left_anti"), "unread")
+    if unread.limit(1).count():  # in no pair so far: the lengths of all its leaders were too different
+        near = near.unionByName(_texts_of(texts, unread))
+    told = members.join(near.select(F.col("doc_id").alias("node"), F.col("__text").alias("text")), "node")
+    member = F.struct(F.col("node").cast("long").alias("node"), "n", F.col("component").cast("long").alias("component"), "entries", "text")
+    # a part holds about BLOCK documents, however many its band has
+    blocks = staged(told.groupBy("key", "band", "part").agg(F.collect_list(member).alias("members")), "blocks")
+    x, y = blocks.alias("x"), blocks.select("key", "part", "members").alias("y")
+    between = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))).select("band", "x.members", F.col("y.members").alias("other"))
+    within = blocks.select("band", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("other"))
+    more = staged(within.unionByName(between).mapInArrow(_verify_blocks(similarity), "a long, b long"), "linked")
+    groups = staged(components(links.unionByName(more.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")))), "groups")
+    drop_staged(lead, pairs, members, blocks)
 
     group = classes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"))
     out = rows.select("doc_id", "digest").join(staged(group, "group"), "digest", "left")
@@ -246,7 +353,8 @@ def first_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one document of each group."""
     found = staged(near_duplicates(docs, **options), "near")
     lost = staged(found.filter("NOT kept").select("doc_id").distinct(), "lost")
-    left = docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a merge join at every size: what is lost grows with the documents
+    left = docs.join(lost.hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     repeats = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     if repeats:  # rows that repeat a doc_id: only here must whole rows be moved
         named = left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])

@@ -1,6 +1,7 @@
 """Near-duplicates of documents and of embeddings, and the components of their links."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +42,23 @@ def docs(spark, rows):
     return spark.createDataFrame([(i, t, 0, "x", "y") for i, t in rows], DOC)
 
 
+def linked(a, b):
+    """The rule, without bands or counts that come first."""
+    d, n = distance(a, b), max(len(a), len(b))
+    x, y = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a, b))
+    return d <= 0.1 * n or (d <= 0.2 * n and (x & y).total() >= 0.8 * (x | y).total())
+
+
+def test_the_rule():
+    r = random.Random(3)
+    for _ in range(300):
+        a = [f"w{r.randrange(30)}" for _ in range(r.randrange(5, 40))]
+        b = edited(a, r.choice([0.05, 0.1, 0.2]), r)
+        if r.random() < 0.5:
+            b = b + [f"v{r.randrange(30)}" for _ in range(r.randrange(0, 10))]
+        assert minhash.similar(minhash.Text(" ".join(a)), minhash.Text(" ".join(b))) == linked(a, b)
+
+
 def edited(words, share, r):
     out = list(words)
     for _ in range(max(1, int(share * len(words)))):
@@ -87,12 +105,26 @@ def test_links_by_brute_force(spark):
 
     for i in words:
         for j in words:
-            if i < j and distance(words[i], words[j]) <= 0.2 * max(len(words[i]), len(words[j])):
+            if i < j and linked(words[i], words[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     assert got == {i: find(i) for i in words}
 
 
+def test_crowds_just_below_the_threshold_stay_apart_but_for_their_copies(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(21)
+    passage = [f"p{i}" for i in range(160)]
+    rows, pairs = [], {}
+    for g in range(60):  # four fifths of each text are the passage
+        rows.append((len(rows), " ".join(passage + [f"w{r.randrange(9999)}" for _ in range(40)])))
+        if g % 10 == 0:
+            pairs[len(rows)] = len(rows) - 1
+            rows.append((len(rows), " ".join(edited(rows[-1][1].split(), 0.01, r))))
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: pairs.get(i, i) for i, _ in rows}
+
+
 def test_documents_at_the_edge(spark):
     long = " ".join(f"v{i % 977} u{i}" for i in range(20_000))
     d = docs(spark, [(3, "a b"), (1, "A  b"), (5, None), (6, ""), (7, None), (None, "a b"), (8, long), (9, long + " more"), (8, long), (10, "a b c"), (4, "one")])
