@@ -28,8 +28,8 @@ from .stage import drop_staged, staged
 COSINE = 0.98
 #: Vectors the codebooks are fitted on, rounds of fitting.
 SAMPLE, ROUNDS = 8_192, 8
-#: Vectors in a block.
-BLOCK = 256
+#: Vectors in a block, and those whose cells a task holds at once.
+BLOCK, SLICE = 256, 512
 SEED = 11
 
 
@@ -112,7 +112,7 @@ def _file(index: MultiIndex, spread: dict):
     """A row for the cell each vector is filed under, and for those it visits, from its own cell on."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, SLICE) for whole in batches for i in range(0, whole.num_rows, SLICE)):
             out = {n: [] for n in ("label", "size", "a", "b", "role", "salt", "node", "copies", "vector")}
             labels, nodes, copies, vectors = (batch.column(n).to_pylist() for n in ("label", "node", "copies", "embedding"))
             for size in sorted({len(v) for v in vectors}):
@@ -228,8 +228,8 @@ def near_duplicates(rows: DataFrame, *, cosine: float = COSINE, recall: float =
     sizes = [len(r["embedding"]) for r in drawn]
     common = max(set(sizes), key=sizes.count) if sizes else 0
     sample = [r for r in drawn if len(r["embedding"]) == common]
-    # about as many cells in a grid as a label has vectors in a block's worth of each
-    cells = max(4, min(256, round(math.sqrt(many / 200))))
+    # finer grids compare fewer vectors, but each is sent to more cells
+    cells = max(4, min(64, round(math.sqrt(many / 800))))
     index = MultiIndex(_unit([r["embedding"] for r in sample]) if sample else np.empty((0, 0)), cosine, recall, cells)
     spread: dict = {}
     if sample:
