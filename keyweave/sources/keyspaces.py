@@ -100,8 +100,8 @@ def queue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publications, then deliveries, then an acknowledgement or refusal of the first ones, by customer segment of keys."""
-    m = queue_messages(spark, sf_dir).filter("seq % 10 = 0")
+    """Publications of all orders, then deliveries of half as many, then acknowledgements and refusals, by their keys."""
+    m = queue_messages(spark, sf_dir)
     base = m.select("queue", "seq", F.lit(0).cast("long").alias("now"), F.lit("publish").alias("op"), "id", F.lit(None).cast("string").alias("consumer_id"), F.col("id").cast("binary").alias("payload"), "priority", F.lit(1).alias("max_retries"), F.lit(None).cast("boolean").alias("requeue"))
 
     def later(op: str, step: int, condition: str, consumer: str | None = None, requeue: bool | None = None, now: int = 0) -> DataFrame:
@@ -111,12 +111,12 @@ def queue_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     steps = [
-        later("consume", 1, "seq % 20 = 0", "c1", now=1),
-        later("ack", 2, "seq % 60 = 0", now=2),
-        later("nack", 3, "seq % 60 = 20", requeue=True, now=3),
-        later("nack", 4, "seq % 60 = 40", requeue=False, now=4),
-        later("consume", 5, "seq % 40 = 0", "c2", now=40),
-        later("nack", 6, "seq % 60 = 20", requeue=True, now=41),
+        later("consume", 1, "seq % 2 = 0", "c1", now=1),
+        later("ack", 2, "seq % 6 = 0", now=2),
+        later("nack", 3, "seq % 6 = 2", requeue=True, now=3),
+        later("nack", 4, "seq % 6 = 4", requeue=False, now=4),
+        later("consume", 5, "seq % 4 = 0", "c2", now=40),
+        later("nack", 6, "seq % 6 = 2", requeue=True, now=41),
     ]
     for step in steps:
         base = base.unionByName(step)

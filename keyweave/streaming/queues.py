@@ -6,8 +6,11 @@ by one task; queues run beside each other, and a stream folds them incrementally
 
 from __future__ import annotations
 
+from bisect import insort
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,40 +42,103 @@ class Message:
     retries: int = 0
 
 
+@dataclass
+class Ready:
+    """Messages in order of delivery, cut into runs where one has a lower priority than all before it.
+
+    A run is named by its first message's priority, so none is scanned to insert one.
+    """
+
+    runs: dict[int, deque[Message]] = field(default_factory=dict)
+    #: The runs' names, ascending: the front of the queue is the last one.
+    lows: list[int] = field(default_factory=list)
+    size: int = 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[Message]:
+        for low in reversed(self.lows):
+            yield from self.runs[low]
+
+    def _put(self, message: Message, low: int) -> None:
+        if low not in self.runs:
+            self.runs[low] = deque()
+            insort(self.lows, low)
+        self.runs[low].append(message)
+
+    def insert(self, message: Message) -> None:
+        """Before the first of a lower priority."""
+        self._put(message, message.priority)
+        self.size += 1
+
+    def append(self, message: Message) -> None:
+        """Behind all, whatever its priority."""
+        self._put(message, min(self.lows[0], message.priority) if self.lows else message.priority)
+        self.size += 1
+
+    def pop(self) -> Message:
+        low = self.lows[-1]
+        run = self.runs[low]
+        message = run.popleft()
+        self.size -= 1
+        # requeued ones of higher priority are now first: runs of their own, up to the next of this priority
+        above = None
+        while run and run[0].priority > low:
+            above = run[0].priority if above is None else min(above, run[0].priority)
+            self._put(run.popleft(), above)
+        if not run:
+            del self.runs[low]
+            self.lows.remove(low)
+        return message
+
+
 @dataclass
 class Queue:
     """Ready messages in order of delivery, those in flight, and the dead."""
 
     limits: Limits
-    ready: list[Message] = field(default_factory=list)
+    ready: Ready = field(default_factory=Ready)
     pending: dict[str, tuple[Message, str, int]] = field(default_factory=dict)
     dead: list[Message] = field(default_factory=list)
+    #: A heap of (deadline, message) of all deliveries, and how many messages each consumer holds.
+    deadlines: list[tuple[int, str]] = field(default_factory=list)
+    holds: Counter[str] = field(default_factory=Counter)
 
     def publish(self, message: Message) -> str:
         if len(self.ready) >= self.limits.max_depth:
             return "full"
         # behind all of its priority or higher, wherever requeued ones stand
-        at = next((i for i, m in enumerate(self.ready) if m.priority < message.priority), len(self.ready))
-        self.ready.insert(at, message)
+        self.ready.insert(message)
         return "published"
 
+    def _release(self, message_id: str) -> Message | None:
+        held = self.pending.pop(message_id, None)
+        if not held:
+            return None
+        self.holds[held[1]] -= 1
+        return held[0]
+
     def consume(self, consumer: str, now: int) -> Message | None:
-        holds = sum(1 for _, who, _ in self.pending.values() if who == consumer)
-        if not self.ready or (self.limits.prefetch and holds >= self.limits.prefetch):
+        if not self.ready or (self.limits.prefetch and self.holds[consumer] >= self.limits.prefetch):
             return None
-        message = self.ready.pop(0)
-        self.pending[message.id] = (message, consumer, now + self.limits.ack_deadline_secs)
+        message = self.ready.pop()
+        deadline = now + self.limits.ack_deadline_secs
+        if message.id in self.pending:  # published twice: the later delivery counts
+            self.holds[self.pending[message.id][1]] -= 1
+        self.pending[message.id] = (message, consumer, deadline)
+        self.holds[consumer] += 1
+        heappush(self.deadlines, (deadline, message.id))
         return message
 
     def ack(self, message_id: str) -> str:
-        return "acked" if self.pending.pop(message_id, None) else "not found"
+        return "acked" if self._release(message_id) else "not found"
 
     def nack(self, message_id: str, requeue: bool) -> str:
         """A retry more; beyond the limit it is dead, else at the back of the queue, or gone."""
-        held = self.pending.pop(message_id, None)
-        if not held:
+        message = self._release(message_id)
+        if not message:
             return "not found"
-        message = held[0]
         message.retries += 1
         if message.retries > message.max_retries:
             self.dead.append(message)
@@ -84,14 +150,18 @@ class Queue:
 
     def expire(self, now: int) -> list[str]:
         """Messages whose deadline has come are requeued, the earliest first."""
-        due = sorted((deadline, i) for i, (_, _, deadline) in self.pending.items() if deadline <= now)
-        for _, message_id in due:
-            self.nack(message_id, True)
-        return [i for _, i in due]
+        due = []
+        while self.deadlines and self.deadlines[0][0] <= now:
+            deadline, message_id = heappop(self.deadlines)
+            held = self.pending.get(message_id)
+            if held and held[2] == deadline:  # not given back, nor delivered again since
+                self.nack(message_id, True)
+                due.append(message_id)
+        return due
 
     def purge(self) -> int:
         n = len(self.ready)
-        self.ready.clear()
+        self.ready = Ready()
         return n
 
     def apply(self, row: dict) -> tuple[str | None, str, int | None]:
@@ -114,7 +184,7 @@ class Queue:
         if op == "create":  # a queue that is there stays as it is
             return None, "created", None
         if op == "delete":
-            self.ready, self.pending, self.dead = [], {}, []
+            self.ready, self.pending, self.dead, self.deadlines, self.holds = Ready(), {}, [], [], Counter()
             return None, "deleted", None
         if op == "sweep":
             return None, "swept", None
