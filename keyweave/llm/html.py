@@ -2,9 +2,9 @@
 
 The standard library's parser streams events; block-level tags cut the page into
 lines.  A line's ratio is its text outside links over the tags in it.  The ratios,
-smoothed by a Gaussian, are split at their deviation into content and the rest, and
-the regions of the page (article, main, section, ...) that hold the content are
-kept, with their short lines.  Menus, headers, footers, sidebars, notices, adverts,
+smoothed by a Gaussian, are split at their deviation into content and the rest.  All
+content is kept, with the short lines of the articles that hold some and of the
+smallest region (main, section, ...) around all of it.  Menus, headers, footers, sidebars, notices, adverts,
 forms, comments and hidden parts are marked as the parser passes them and never kept.
 """
 
@@ -172,34 +172,44 @@ def main_text(html: str | None) -> str:
     mean = sum(smooth) / len(smooth)
     limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
     content = [s >= min(limit, mean) for s in smooth]
-    mass: dict[int, float] = {}
-    for (text, _, links, region), good in zip(lines, content):
-        if good:
-            mass[region] = mass.get(region, 0) + max(0, len(text) - links)
-    if not mass:
+    plain = [len(text) > 2 * links for text, _, links, _ in lines]  # no list of links
+    regions = parser.regions
+
+    def held(counted: list[bool]) -> list[int]:
+        """The text of counted lines in each region and those in it."""
+        sums = [0] * len(regions)
+        for (text, _, links, region), counts in zip(lines, counted):
+            if counts:
+                sums[region] += max(0, len(text) - links)
+        for region in range(len(regions) - 1, 0, -1):  # a region comes after those around it
+            sums[regions[region][0]] += sums[region]
+        return sums
+
+    mass = held(content)
+    if not mass[0]:
         return ""
-    # the outermost article around the content decides; else the region that holds most of it
-    regions, best = parser.regions, max(mass, key=lambda r: (mass[r], -r))
-
-    def around(region: int) -> list[int]:
-        path = []
-        while region >= 0:
-            path.append(region)
-            region = regions[region][0]
-        return path
-
-    def held(root: int) -> float:
-        return sum(m for r, m in mass.items() if root in around(r))
-
-    total = sum(mass.values())
-    roots = {r for r in range(len(regions)) if regions[r][1] == "article" and not any(regions[a][1] == "article" for a in around(r)[1:]) and held(r) >= total / 4}
-    if roots:
-        keep = [any(a in roots for a in around(region)) for _, _, _, region in lines]
-    else:
-        named = [a for a in around(best) if regions[a][1] == "named" and held(a) >= total / 2]
-        root = named[-1] if named else next(a for a in around(best) if held(a) >= total / 2)
-        # beside the root's own lines, only those that are content and no list of links
-        keep = [root in around(region) and (good or len(text) > 2 * links) for (text, _, links, region), good in zip(lines, content)]
+    # the outermost articles that hold content are whole
+    article = [-1] * len(regions)
+    for region, (parent, kind) in enumerate(regions):
+        article[region] = article[parent] if parent >= 0 and article[parent] >= 0 else region if kind == "article" else -1
+    # the smallest region around all content but lists of links adds its short lines
+    running = held([good and unlinked for good, unlinked in zip(content, plain)])
+    if not running[0]:
+        running = mass
+    root = max(region for region, m in enumerate(running) if m == running[0])
+    if article[root] < 0:
+        outer = root
+        while outer >= 0:
+            if regions[outer][1] == "named":
+                root = outer
+            outer = regions[outer][0]
+    inside = [False] * len(regions)
+    for region, (parent, _) in enumerate(regions):
+        inside[region] = region == root or (parent >= 0 and inside[parent])
+    keep = [
+        (article[region] >= 0 and mass[article[region]] > 0) or (inside[region] and (good or unlinked))
+        for (_, _, _, region), good, unlinked in zip(lines, content, plain)
+    ]
     return "\n".join(text for (text, _, _, _), k in zip(lines, keep) if k and text)
 
 
