@@ -5,7 +5,9 @@ lines.  A line's ratio is its text outside links over the tags in it.  The ratio
 smoothed by a Gaussian, are split at their deviation into content and the rest.  All
 content is kept, with the short lines of the articles that hold some and of the
 smallest region (main, section, ...) around all of it.  Menus, headers, footers, sidebars, notices, adverts,
-forms, comments and hidden parts are marked as the parser passes them and never kept.
+forms, comments and hidden parts are marked as the parser passes them and never kept;
+where a mark is ambiguous, a block of an article is left out only if its links or its
+ratio speak against it too.  Headings bear no marks.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ MARKS = frozenset(
     "disqus respond discussion share sharing social related recommended subscribe newsletter signup login search widget pagination pager toolbar "
     "complementary contentinfo dialog alertdialog".split()
 )
+#: Marks that an article's own parts may bear too.
+AMBIGUOUS = frozenset("discussion related share search header notice".split())
 ARTICLE_WORDS = frozenset("article main content post entry story".split())
 
 SIGMA = 1.0
@@ -47,13 +51,14 @@ _NEVER_MARKED = frozenset(("html", "body", "article", "main"))
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: [text pieces, tags, characters in links, region, dropped]."""
+    """Cuts a page into lines: [text pieces, tags, characters in links, region, suspect, whether a heading]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, dropped, region
+        self.stack: list[tuple[str, bool, int, int]] = []  # tag, dropped, region, suspect
         self.lines: list[list] = []
         self.regions: list[tuple[int, str]] = [(-1, "page")]  # parent, kind
+        self.suspects: list[tuple[int, bool]] = []  # parent, whether its headings stay: blocks of an article with an ambiguous mark
         self.tags = self.links = 0
         self.line: list | None = None
 
@@ -65,11 +70,15 @@ class _Lines(HTMLParser):
             self.lines.append(self.line)
         self.line = None
 
-    def _where(self) -> tuple[bool, int]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, 0)
+    def _where(self) -> tuple[bool, int, int]:
+        return self.stack[-1][1:] if self.stack else (False, 0, -1)
 
     def _in_article(self) -> bool:
-        return any(t in ("article", "main") for t, _, _ in self.stack)
+        return any(t in ("article", "main") for t, _, _, _ in self.stack)
+
+    def _in_content(self) -> bool:
+        """In an article or in a container named like one."""
+        return any(t in REGION and t not in ("html", "body") and self.regions[r][1] != "plain" for t, _, r, _ in self.stack)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         for open_tag in CLOSES.get(tag, ()):
@@ -83,13 +92,17 @@ class _Lines(HTMLParser):
                 self.line[0].append(" ")
         if tag in VOID:
             return
-        dropped, region = self._where()
+        dropped, region, suspect = self._where()
         marked = False
         words: frozenset | set = frozenset()
         if attrs:
             given = dict(attrs)
             words = set(_WORDS(f"{given.get('class')} {given.get('id')} {given.get('role')}".lower()))
-            marked = not words.isdisjoint(MARKS) and tag not in _NEVER_MARKED
+            marked = not words.isdisjoint(MARKS) and tag not in _NEVER_MARKED and tag not in HEADING
+            if marked and tag in BLOCK and tag not in ASIDE and words & MARKS <= AMBIGUOUS and MARKS.isdisjoint(_WORDS((given.get("role") or "").lower())) and self._in_content():
+                marked = False  # its text decides
+                self.suspects.append((suspect, words & MARKS == {"header"}))
+                suspect = len(self.suspects) - 1
             if "hidden" in given or given.get("aria-hidden") == "true" or ("style" in given and _HIDES(given["style"] or "")):
                 marked = dropped = True
         if tag == "header" and words.isdisjoint(MARKS - {"header"}) and self._in_article():
@@ -102,7 +115,7 @@ class _Lines(HTMLParser):
             kind = "article" if tag in ("article", "main") else "plain" if words.isdisjoint(ARTICLE_WORDS) else "named"
             self.regions.append((region, kind))
             region = len(self.regions) - 1
-        self.stack.append((tag, dropped, region))
+        self.stack.append((tag, dropped, region, suspect))
         if tag == "a":
             self.links += 1
 
@@ -122,7 +135,7 @@ class _Lines(HTMLParser):
         elif self.line is not None:
             self.line[1] += 1
         # a stray end tag closes nothing, and an inline one no block
-        for open_tag, _, _ in reversed(self.stack):
+        for open_tag, _, _, _ in reversed(self.stack):
             if open_tag == tag:
                 self._close(tag)
                 return
@@ -130,13 +143,13 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        dropped, region = self._where()
+        dropped, region, suspect = self._where()
         if dropped:
             return
         if self.line is None:
             if not data.strip():
                 return
-            self.line = [[], 1, 0, region]
+            self.line = [[], 1, 0, region, suspect, suspect >= 0 and any(t in HEADING for t, _, _, _ in self.stack)]
         self.line[0].append(data)
         if self.links:
             self.line[2] += len(data)
@@ -158,20 +171,42 @@ def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def scored(lines: list[tuple]) -> tuple[list[float], float]:
+    """The lines' smoothed ratios, and where content begins."""
+    smooth = smoothed([max(0, len(line[0]) - line[2]) / line[1] for line in lines])
+    mean = sum(smooth) / len(smooth)
+    return smooth, min(math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), mean)
+
+
+def cleared(lines: list[tuple], suspects: list[tuple[int, bool]]) -> list[tuple]:
+    """Lines but those of suspects that are links for the most part or have a ratio below content's."""
+    certain = [line for line in lines if line[4] < 0]
+    limit = scored(certain)[1] if certain else 0
+    sums = [[0, 0, 0] for _ in suspects]
+    for text, tags, links, _, suspect, _ in lines:
+        while suspect >= 0:
+            sums[suspect] = [a + b for a, b in zip(sums[suspect], (len(text), links, tags))]
+            suspect = suspects[suspect][0]
+    whole, headings = [], []  # which suspects stay, or keep their headings
+    for (parent, own), (n, links, tags) in zip(suspects, sums):
+        stays = 2 * links <= n and max(0, n - links) >= limit * tags
+        whole.append(stays and (parent < 0 or whole[parent]))
+        headings.append((stays or own) and (parent < 0 or headings[parent]))
+    return [line for line in lines if line[4] < 0 or whole[line[4]] or (line[5] and headings[line[4]])]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, joined by newlines; empty if there is none."""
     if not html:
         return ""
     parser = _Lines()
     parser.feed(html)
-    lines = [(" ".join("".join(p).split()), tags, links, region) for p, tags, links, region in parser.done()]
+    read = [(" ".join("".join(p).split()), *rest) for p, *rest in parser.done()]
+    lines = [line[:4] for line in (cleared(read, parser.suspects) if parser.suspects else read)]
     if not lines:
         return ""
-    ratios = [max(0, len(text) - links) / tags for text, tags, links, _ in lines]
-    smooth = smoothed(ratios)
-    mean = sum(smooth) / len(smooth)
-    limit = math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    content = [s >= min(limit, mean) for s in smooth]
+    smooth, limit = scored(lines)
+    content = [s >= limit for s in smooth]
     plain = [len(text) > 2 * links for text, _, links, _ in lines]  # no list of links
     regions = parser.regions
 
