@@ -30,8 +30,10 @@ WEIGHT = 60
 DECLARED_RIGHT, SUFFIX_RIGHT = 0.9, 0.7
 #: Documents that a suffix's (a corpus's) distribution counts for in a host's (a suffix's).
 HOST_SMOOTHING, SUFFIX_SMOOTHING = 20.0, 100.0
-#: Documents whose best language is less probable are rejected, like those without letters.
+#: Documents whose best language is less probable are rejected, like those without letters or in no language.
 LEAST = 0.5
+#: The share of texts in none of the languages, before they are read.
+NONE = 0.01
 
 # Country suffixes and the language most of their pages are in.
 SUFFIXES = {
@@ -49,6 +51,8 @@ class TextModel:
     languages: tuple[str, ...]
     #: log P(trigram | language), a row for each hash bucket.
     logs: np.ndarray
+    #: Likelihood of a trigram in none of the languages.
+    none: float = float("-inf")
 
 
 def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +89,42 @@ def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key:
         often[r["label"]] = often.get(r["label"], 0) + 1
     languages = tuple(sorted(sorted(often, key=lambda x: (-often[x], x))[:LANGUAGES])) or ("und",)
     counts = np.zeros((BUCKETS, len(languages)))
+    reached = []
     for i, language in enumerate(languages):
-        code, _ = _trigrams(pa.array([r["text"] for r in rows if r["label"] == language], pa.string()))
+        code, owner = _trigrams(pa.array([r["text"] for r in rows if r["label"] == language], pa.string()))
         counts[:, i] = np.bincount(code, minlength=BUCKETS)
+        reached.append(_left_out(code, owner, counts[:, i]))
     counts += 0.1
-    return TextModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+    texts = np.concatenate(reached)
+    none = (np.quantile(texts, 0.001) + _at_random(logs)) / 2 if len(texts) else -np.inf
+    return TextModel(languages, logs, float(none))
+
+
+def _left_out(code: np.ndarray, owner: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Mean log likelihood of each text's trigrams by the other texts of its language."""
+    pairs, own = np.unique(owner << 16 | code, return_counts=True)
+    text, bucket = pairs >> 16, pairs & (BUCKETS - 1)
+    n = np.bincount(text, weights=own)
+    rest = counts.sum() - n[text] + 0.1 * BUCKETS
+    sums = np.bincount(text, weights=own * np.log((counts[bucket] - own + 0.1) / rest))
+    return (sums / np.maximum(n, 1))[n > 0]
+
+
+def _at_random(logs: np.ndarray) -> float:
+    """Mean log likelihood of trigrams drawn at random from a to z, in the language where it is highest."""
+    a = np.arange(ord("a"), ord("z") + 1, dtype=np.uint32)
+    code = (a[:, None, None] << 16 | a[None, :, None] << 8 | a).ravel() * np.uint32(2654435761) >> np.uint32(16)
+    return float(logs[code].mean(axis=0).max())
 
 
 def text_scores(texts: pa.Array, model: TextModel) -> tuple[np.ndarray, np.ndarray]:
     """For each text its number of trigrams, and a row of tempered log likelihoods."""
+    return _judged(texts, model)[:2]
+
+
+def _judged(texts: pa.Array, model: TextModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text scores, and whether one of the languages is likelier than none of them."""
     numbers, scores = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(model.languages)))
     code, owner = _trigrams(pc.fill_null(texts, ""))
     if len(code):
@@ -103,7 +134,11 @@ def text_scores(texts: pa.Array, model: TextModel) -> tuple[np.ndarray, np.ndarr
         for i in range(len(model.languages)):
             scores[who, i] = np.add.reduceat(model.logs[:, i][code].astype(np.float64), starts)
         scores[who] *= (np.minimum(numbers[who], WEIGHT) / numbers[who])[:, None]
-    return numbers, scores - scores.max(axis=1, keepdims=True)
+    best = scores.max(axis=1, keepdims=True)
+    odds = float(np.log(NONE / (1 - NONE)))
+    # nothing to read is likely in none, and infinity times 0 is no number
+    known = best[:, 0] > np.where(numbers > 0, np.minimum(np.maximum(numbers, 1), WEIGHT) * model.none + odds, np.inf)
+    return numbers, scores - best, known
 
 
 #: Texts are scored in slices of about this many bytes.
@@ -115,21 +150,22 @@ def _score(model: TextModel, text: str):
         for batch in batches:
             column = batch.column(text)
             step = max(1, int(len(column) * SLICE / max(1, column.nbytes)))
-            parts = [text_scores(column.slice(i, step), model) for i in range(0, len(column), step)]
+            parts = [_judged(column.slice(i, step), model) for i in range(0, len(column), step)]
             numbers = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
             scores = np.concatenate([p[1] for p in parts]) if parts else np.empty((0, len(model.languages)))
+            known = np.concatenate([p[2] for p in parts]) if parts else np.empty(0, bool)
             # a text of any length is scored; the rest of its row passes through
             keep = [n for n in batch.schema.names if n != "__scored"]
             lists = pa.array(list(scores), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(numbers), lists], names=[*keep, "__letters", "__scores"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(numbers), lists, pa.array(known)], names=[*keep, "__letters", "__scores", "__known"])
 
     return run
 
 
 def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
-    """``rows`` with __letters and __scores for its column __scored, which goes."""
+    """``rows`` with __letters, __scores and __known for its column __scored, which goes."""
     kept = [f for f in rows.schema.fields if f.name != "__scored"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __letters long, __scores array<double>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __letters long, __scores array<double>, __known boolean"
     return rows.mapInArrow(_score(model, "__scored"), schema)
 
 
@@ -182,7 +218,7 @@ def _fuse(scored: DataFrame, priors: DataFrame, whole: list[float], languages: t
     joined = joined.withColumn("__logs", logs).withColumn("__best", F.array_max("__logs"))
     names = F.array(*[F.lit(x) for x in languages])
     weight = F.aggregate(F.transform("__logs", lambda x: F.exp(x - F.col("__best"))), F.lit(0.0), lambda a, x: a + x)
-    letters = F.col("__letters") > 0
+    letters = F.col("__known")
     at = lambda values, best: F.get(names, (F.array_position(values, best) - 1).cast("int"))
     found = F.struct(
         F.when(letters, at(F.col("__logs"), F.col("__best"))).otherwise("und").alias("__lang"),
@@ -194,7 +230,7 @@ def _fuse(scored: DataFrame, priors: DataFrame, whole: list[float], languages: t
 
 
 def _kept(allowed: tuple[str, ...] | None) -> Column:
-    good = (F.col("__letters") > 0) & (F.col("__probability") >= LEAST)
+    good = F.col("__known") & (F.col("__probability") >= LEAST)
     return good & F.col("__lang").isin(list(allowed)) if allowed else good
 
 
@@ -203,13 +239,13 @@ def identify(docs: DataFrame, model: TextModel, *, key: str = "doc_id", text: st
 
     ``declared``, ``address`` and ``host`` name columns; null or unknown values of them
     are no evidence, and a null host is a host of its own.  A null or empty text, or one
-    without letters, is "und" and not kept.  Rows are judged one by one (equal rows
+    without letters or whose letters speak for none of the languages, is "und" and not kept.  Rows are judged one by one (equal rows
     alike), but all count for the priors.  An empty table gives no rows.
     """
     evidence = _evidence(docs, F.col(text), F.col(declared), F.col(address), F.col(host))
     rows = docs.select(F.col(key), *[c.alias(n) for n, c in evidence.items()])
     scored = staged(_scored(rows, model), "scores")
-    priors, whole = host_priors(scored, model.languages)
+    priors, whole = host_priors(scored.filter("__known"), model.languages)
     fused = _fuse(scored, staged(priors, "priors"), whole, model.languages)
     return fused.select(
         F.col(key), F.col("__lang").alias("lang"), F.col("__probability").alias("probability"), F.col("__text_lang").alias("text_lang"), F.col("__declared").alias("declared"), F.col("__letters").alias("letters"), _kept(allowed).alias("kept")
@@ -223,7 +259,7 @@ def identified_documents(docs: DataFrame, model: TextModel, *, allowed: tuple[st
     between or moved.
     """
     evidence = _evidence(docs, F.col("text"), F.col("lang"), F.col("source"), F.col("source"))
-    priors, whole = host_priors(_scored(docs.select(*[c.alias(n) for n, c in evidence.items()]), model), model.languages)
+    priors, whole = host_priors(_scored(docs.select(*[c.alias(n) for n, c in evidence.items()]), model).filter("__known"), model.languages)
     fused = _fuse(_scored(docs.withColumns(evidence), model), staged(priors, "priors"), whole, model.languages)
     kept = fused.filter(_kept(allowed))
     return kept.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
