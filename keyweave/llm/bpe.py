@@ -7,7 +7,8 @@ neighbouring chunks share (after no white space), both go on alike.  The text is
 pieces between are encoded in parallel, and the ids are put together in order.
 Where an overlap holds no shared boundary (one pre-token longer than it), the
 chunks on both sides are encoded as one piece, so results are always those of the
-whole text.  Shorter texts are a single piece.  Decoding concatenates raw bytes.
+whole text: a pre-token can't be cut, and one longer than a chunk is a task's.
+Texts no longer than a chunk are a single piece.  Decoding concatenates raw bytes.
 """
 
 from __future__ import annotations
@@ -156,12 +157,13 @@ def _digest_runs(batches):
 def encoded_runs(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """Texts longer than a chunk: (uid, doc_id) and their runs (uid, run, n_tokens, ids, raw)."""
     long = docs.select("doc_id", "text", F.length("text").alias("size")).filter(F.col("size") > chunk)
-    n = F.ceil((F.col("size") - OVERLAP) / chunk).cast("int")
-    long = long.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "size", F.greatest(n, F.lit(1)).alias("n"))
-    each = long.select("uid", "doc_id", "size", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), "text")
-    length = F.when(F.col("i") == F.col("n") - 1, F.col("size").cast("int")).otherwise(chunk + OVERLAP)
+    # one pass cuts a text into pieces, whose rows carry no more than themselves and the next one's beginning
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    long = long.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "size", pieces.alias("pieces"))
+    whole = F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.substring(F.get("pieces", i + 1), 1, OVERLAP), F.lit(""))))
+    each = long.select("uid", "doc_id", "size", F.size("pieces").alias("n"), F.posexplode(whole).alias("i", "part"))
     # the written table fixes uid, however often it is read
-    parts = staged(each.select("uid", "doc_id", "size", "n", "i", F.substring("text", F.col("i") * chunk + 1, length).alias("part")), "chunks")
+    parts = staged(each, "chunks")
     edges = parts.select("uid", "i", "n", "part").mapInArrow(_edges(pattern, chunk), "uid long, i int, heads array<long>, tails array<long>")
     order = W.partitionBy("uid").orderBy("i")
     cut = F.array_min(F.array_intersect("tails", F.lead("heads").over(order)))
@@ -206,7 +208,11 @@ def _encode_batches(ranks_path: str, pattern: str):
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, piece, ids: the ids of every text, in pieces to be read in order."""
+    """doc_id, piece, ids: the ids of every text, in pieces to be read in order.
+
+    Needs doc_id and text; other columns are ignored.  A null or empty text is one piece
+    without ids, repeated rows give repeated pieces, an empty table none.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     short = docs.select("doc_id", F.lit(0).cast("long").alias("piece"), text.alias("__text")).filter(F.length("__text") <= chunk)
     short = short.mapInArrow(_encode_batches(ranks_path, pattern), f"{_type(docs)}, piece long, ids array<int>")
@@ -222,7 +228,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, chunk: int = CHUNK
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, piece, raw: the bytes of every piece; a text is its pieces' bytes in order."""
+    """doc_id, piece, raw: the bytes of every piece; a text is its pieces' bytes in order.
+
+    Needs doc_id, piece, ids; other columns are ignored.  Null or empty ids are no bytes;
+    repeated rows give repeated rows, an empty table none.
+    """
 
     def run(batches):
         code = encoding(ranks_path, pattern)

@@ -6,7 +6,8 @@ participant sees it; the characters ``start`` to ``end`` are its place in that
 participant's rendering, and ``mask`` says whether a model should learn it.
 
 Places are running sums over the turns before.  They are summed within blocks of
-turns and then over the blocks, so a conversation of any length is spread over tasks.
+turns and then over the blocks, and turns meet their speakers block by block, so a
+conversation of any length is spread over tasks.
 """
 
 from __future__ import annotations
@@ -43,7 +44,10 @@ def rotate(turns: DataFrame, *, scene: tuple[str, ...] = SCENE, block: int = BLO
         F.floor(F.coalesce("turn", F.lit(-1)) / block).alias("block"),
     )
     people = said.filter(~sceneries).select(F.col("conv_id").alias("c"), F.col("name").alias("perspective")).distinct()
-    seen = said.join(people, said["conv_id"].eqNullSafe(people["c"])).drop("c")
+    # the speakers go to every block of their conversation: its turns need not meet in one task
+    blocks = said.select(F.col("conv_id").alias("c2"), F.col("block").alias("b2")).distinct()
+    people = people.join(blocks, F.col("c").eqNullSafe(F.col("c2"))).drop("c2")
+    seen = said.join(people, said["conv_id"].eqNullSafe(people["c"]) & (said["block"] == people["b2"])).drop("c", "b2")
     own = F.col("name") == F.col("perspective")
     seen = seen.withColumn("rendered", F.when(own, F.col("as_self")).otherwise(F.col("as_other"))).withColumn("mask", own)
     seen = seen.withColumn("long", F.length("rendered").cast("long"))

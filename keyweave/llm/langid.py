@@ -6,6 +6,8 @@ the one its address's country suffix speaks for, and a prior of its host.  A hos
 prior is its documents' text evidence, smoothed towards that of its suffix, which is
 smoothed towards that of the whole corpus; the counts are grouped aggregations over
 all documents.
+
+Labels only train the text model; they are no evidence for the document they are on.
 """
 
 from __future__ import annotations
@@ -17,12 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructType
 
-from .stage import staged
+from .stage import as_row, staged, unpacked
 
-#: Documents the text model is trained on (the labelled ones of smallest hash), their
-#: length in characters, and the languages told apart, the most frequent first.
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 4_000, 20_000, 64
+#: Documents of each language the text model is trained on (those of smallest hash), and their length in characters.
+SAMPLE, SAMPLE_CHARS = 1_000, 20_000
+#: A language with fewer of them says nothing about how unlike its language a text can be.
+ENOUGH = 20
 BUCKETS = 1 << 16
 #: Trigrams a text counts for at most: those of a text are not independent.
 WEIGHT = 60
@@ -73,31 +78,44 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return code, owner[:-2][good]
 
 
+def training_rows(labelled: DataFrame, text: str, label: str, key: str, sample: int) -> DataFrame:
+    """label, text: at most ``sample`` rows of each label, those of smallest hash.
+
+    A share of each label's rows is drawn first, by its count over all rows, so that no
+    task orders all rows of a label.
+    """
+    rows = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit(7), F.col(key)).alias("h"))
+    usable = rows.filter(F.col("label").isNotNull() & (F.length("text") >= 20) & (F.length("text") <= SAMPLE_CHARS))
+    counts = usable.groupBy("label").count().collect()  # a row for each language
+    if not counts:
+        return usable.select("label", "text").limit(0)
+    shares = F.create_map(*[x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, (2 * sample + 100) / r["count"])))])
+    drawn = usable.filter(F.pmod("h", F.lit(1 << 30)) < F.coalesce(F.try_element_at(shares, F.col("label")), F.lit(0.0)) * (1 << 30))
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text"))
+    return drawn.withColumn("place", place).filter(F.col("place") <= sample).select("label", "text")
+
+
 def train(labelled: DataFrame, *, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """A model of the texts by language, from a bounded sample of labelled rows.
+    """A model of the texts by language, for every label there is.
 
-    At most ``sample`` rows of at most SAMPLE_CHARS characters come to the driver.
+    At most ``sample`` rows of each language, of at most SAMPLE_CHARS characters, come to
+    the driver; labels without a text of 20 characters or more have no language.
     """
-    usable = labelled.filter(F.col(label).isNotNull() & (F.length(text) >= 20) & (F.length(text) <= SAMPLE_CHARS) & F.col(key).isNotNull())
-    drawn = usable.select(F.xxhash64(F.lit(7), F.col(key)).alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    rows = []
-    if drawn is not None:
-        picked = usable.filter(F.xxhash64(F.lit(7), F.col(key)) <= drawn).limit(sample)
-        rows = picked.select(F.col(label).alias("label"), F.col(text).alias("text")).collect()
-    often: dict[str, int] = {}
+    rows = training_rows(labelled, text, label, key, sample).collect()
+    texts: dict[str, list[str]] = {}
     for r in rows:
-        often[r["label"]] = often.get(r["label"], 0) + 1
-    languages = tuple(sorted(sorted(often, key=lambda x: (-often[x], x))[:LANGUAGES])) or ("und",)
-    counts = np.zeros((BUCKETS, len(languages)))
-    reached = []
+        texts.setdefault(r["label"], []).append(r["text"])
+    languages = tuple(sorted(texts)) or ("und",)
+    counts = np.zeros((BUCKETS, len(languages)), np.float32)
+    reached, few = [], []
     for i, language in enumerate(languages):
-        code, owner = _trigrams(pa.array([r["text"] for r in rows if r["label"] == language], pa.string()))
+        code, owner = _trigrams(pa.array(texts.get(language, []), pa.string()))
         counts[:, i] = np.bincount(code, minlength=BUCKETS)
-        reached.append(_left_out(code, owner, counts[:, i]))
+        (reached if len(texts.get(language, ())) >= ENOUGH else few).append(_left_out(code, owner, counts[:, i].astype(np.float64)))
     counts += 0.1
-    logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    texts = np.concatenate(reached)
-    none = (np.quantile(texts, 0.001) + _at_random(logs)) / 2 if len(texts) else -np.inf
+    logs = np.log(counts / counts.sum(axis=0, dtype=np.float64)).astype(np.float32)
+    seen = np.concatenate(reached or few)
+    none = (np.quantile(seen, 0.001) + _at_random(logs)) / 2 if len(seen) else -np.inf
     return TextModel(languages, logs, float(none))
 
 
@@ -165,11 +183,23 @@ def _score(model: TextModel, text: str):
 def _scored(rows: DataFrame, model: TextModel) -> DataFrame:
     """``rows`` with __letters, __scores and __known for its column __scored, which goes."""
     kept = [f for f in rows.schema.fields if f.name != "__scored"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", __letters long, __scores array<double>, __known boolean"
-    return rows.mapInArrow(_score(model, "__scored"), schema)
+    new = StructType().add("__letters", LongType()).add("__scores", ArrayType(DoubleType())).add("__known", BooleanType())
+    return rows.mapInArrow(_score(model, "__scored"), StructType(kept + new.fields))
+
+
+def declared_in(text: Column) -> Column:
+    """The language that markup in a text declares, by an element's ``lang`` or a ``content-language``; else null."""
+    attribute = F.regexp_extract(text, r"(?i)<(?:html|body|article|main)\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?([a-z]{2,8})\b", 1)
+    header = F.regexp_extract(text, r"(?i)<meta\b[^>]*?content-language[\"']?\s+content\s*=\s*[\"']?([a-z]{2,8})\b", 1)
+    return F.when(text.contains("<"), F.nullif(F.coalesce(F.nullif(attribute, F.lit("")), header), F.lit("")))
+
 
+def without_tags(text: Column) -> Column:
+    """The text between tags: the letters of markup are in no language."""
+    return F.when(text.contains("<"), F.regexp_replace(text, r"<[!/a-zA-Z][^<>]*>", " ")).otherwise(text)
 
-def _evidence(docs: DataFrame, text: Column, declared: Column, address: Column, host: Column) -> dict[str, Column]:
+
+def _evidence(text: Column, declared: Column, address: Column, host: Column) -> dict[str, Column]:
     primary = F.regexp_extract(F.lower(F.coalesce(declared, F.lit(""))), "^[a-z]+", 0)
     bare = F.regexp_extract(F.lower(F.coalesce(address, F.lit(""))), r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]*)", 1)
     return {
@@ -234,32 +264,41 @@ def _kept(allowed: tuple[str, ...] | None) -> Column:
     return good & F.col("__lang").isin(list(allowed)) if allowed else good
 
 
-def identify(docs: DataFrame, model: TextModel, *, key: str = "doc_id", text: str = "text", declared: str = "lang", address: str = "source", host: str = "source", allowed: tuple[str, ...] | None = None) -> DataFrame:
+def _judged_rows(docs: DataFrame, carried: Column, model: TextModel, text: str, declared: Column | None, address: str, host: str) -> DataFrame:
+    """``carried`` as ``row``, with all that is found about each document.
+
+    The texts are scored once: the scores are written with their rows, then counted for
+    the priors and fused.
+    """
+    read = F.col(text)
+    said = declared_in(read) if declared is None else declared
+    evidence = _evidence(without_tags(read) if declared is None else read, said, F.col(address), F.col(host))
+    scored = staged(_scored(docs.select(carried.alias("row"), *[c.alias(n) for n, c in evidence.items()]), model), "scores")
+    priors, whole = host_priors(scored.filter("__known"), model.languages)
+    return _fuse(scored, staged(priors, "priors"), whole, model.languages)
+
+
+def identify(docs: DataFrame, model: TextModel, *, key: str = "doc_id", text: str = "text", declared: str | None = None, address: str = "source", host: str = "source", allowed: tuple[str, ...] | None = None) -> DataFrame:
     """One row for each document: its key, lang, probability, text_lang, declared, letters, kept.
 
-    ``declared``, ``address`` and ``host`` name columns; null or unknown values of them
-    are no evidence, and a null host is a host of its own.  A null or empty text, or one
+    ``declared``, ``address`` and ``host`` name columns (without ``declared`` what markup in
+    the text declares counts, and only what stands between its tags is read); null or
+    unknown values of them are no evidence, and a null host is a host of its own.  A null or empty text, or one
     without letters or whose letters speak for none of the languages, is "und" and not kept.  Rows are judged one by one (equal rows
-    alike), but all count for the priors.  An empty table gives no rows.
+    alike), but all count for the priors.  Other columns are ignored.  An empty table gives no rows.
     """
-    evidence = _evidence(docs, F.col(text), F.col(declared), F.col(address), F.col(host))
-    rows = docs.select(F.col(key), *[c.alias(n) for n, c in evidence.items()])
-    scored = staged(_scored(rows, model), "scores")
-    priors, whole = host_priors(scored.filter("__known"), model.languages)
-    fused = _fuse(scored, staged(priors, "priors"), whole, model.languages)
+    fused = _judged_rows(docs, F.struct(F.col(key).alias("key")), model, text, None if declared is None else F.col(declared), address, host)
     return fused.select(
-        F.col(key), F.col("__lang").alias("lang"), F.col("__probability").alias("probability"), F.col("__text_lang").alias("text_lang"), F.col("__declared").alias("declared"), F.col("__letters").alias("letters"), _kept(allowed).alias("kept")
+        F.col("row.key").alias(key), F.col("__lang").alias("lang"), F.col("__probability").alias("probability"), F.col("__text_lang").alias("text_lang"), F.col("__declared").alias("declared"), F.col("__letters").alias("letters"), _kept(allowed).alias("kept")
     )
 
 
 def identified_documents(docs: DataFrame, model: TextModel, *, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """The documents that are kept, all columns; ``lang`` becomes the language found.
 
-    The texts are scored twice, for the priors and for the decision, rather than written
-    between or moved.
+    Needs text and source (and doc_id, lang for ``train``); any other columns pass
+    through whatever their names.  Nulls, empty texts, repeats and empty tables are
+    treated as by ``identify``: equal rows all stay or all go.
     """
-    evidence = _evidence(docs, F.col("text"), F.col("lang"), F.col("source"), F.col("source"))
-    priors, whole = host_priors(_scored(docs.select(*[c.alias(n) for n, c in evidence.items()]), model).filter("__known"), model.languages)
-    fused = _fuse(_scored(docs.withColumns(evidence), model), staged(priors, "priors"), whole, model.languages)
-    kept = fused.filter(_kept(allowed))
-    return kept.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    kept = _judged_rows(docs, as_row(docs), model, "text", None, "source", "source").filter(_kept(allowed))
+    return unpacked(kept, docs.columns, {"lang": F.col("__lang")})

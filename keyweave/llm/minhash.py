@@ -38,8 +38,10 @@ from .stage import drop_staged, staged
 K = 5
 #: Of shingles, and (1 less twice this distance) of words.
 SIMILARITY = 0.8
-#: Documents of a band that are compared at once.
-BLOCK = 128
+#: Documents of a band that are compared at once, fewer where they have more words than these together.
+BLOCK, BLOCK_WORDS = 128, 200_000
+#: Followers of a leader that are aligned with it in one task.
+FOLLOWERS = 256
 #: Sketch entries; two make a band.
 ENTRIES = 32
 #: Words whose hashes a worker remembers.
@@ -271,10 +273,17 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
+    """The pairs (a, b) whose texts align.
+
+    A leader of many has its text sent to as many tasks as its followers fill, so that
+    none of them gathers a large group's texts.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("__text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("__text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    leaders = staged(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FOLLOWERS).cast("int").alias("parts")), "parts")
+    dealt = pairs.join(leaders, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    left = left.join(leaders, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "text_a", "text_b")
     return staged(both.mapInArrow(_verify(similarity), f"a {kind}, b {kind}"), "linked")
 
 
@@ -325,19 +334,23 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, entries:
     named = classes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "entries")
     bands = F.transform(F.sequence(F.lit(0), F.lit(entries // 2 - 1)), lambda i: F.xxhash64(i, F.get("entries", 2 * i), F.get("entries", 2 * i + 1)))
     banded = named.select("node", "n", "component", "entries", F.posexplode(bands).alias("band", "key"))
-    mixed = banded.select("key", "component").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"))
-    mixed = staged(mixed.filter("low < high").select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")), "mixed")
+    mixed = banded.select("key", "component", "n").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("many"), F.sum("n").alias("words"))
+    parts = F.ceil(F.greatest(F.col("many") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    mixed = staged(mixed.filter("low < high").select("key", parts.alias("parts")), "mixed")
     members = banded.join(mixed, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = staged(members.select("key", "band", "part", "node", "n", "component", "entries"), "members")
+    members = staged(members.select("key", "band", "part", "parts", "node", "n", "component", "entries"), "members")
     unread = staged(members.select(F.col("node").alias("doc_id")).distinct().join(near, "doc_id", "left_anti"), "unread")
     if unread.limit(1).count():  # in no pair so far: the lengths of all its leaders were too different
         near = near.unionByName(_texts_of(texts, unread))
     told = members.join(near.select(F.col("doc_id").alias("node"), F.col("__text").alias("text")), "node")
     member = F.struct(F.col("node").cast("long").alias("node"), "n", F.col("component").cast("long").alias("component"), "entries", "text")
-    # a part holds about BLOCK documents, however many its band has
-    blocks = staged(told.groupBy("key", "band", "part").agg(F.collect_list(member).alias("members")), "blocks")
-    x, y = blocks.alias("x"), blocks.select("key", "part", "members").alias("y")
-    between = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.part") < F.col("y.part"))).select("band", "x.members", F.col("y.members").alias("other"))
+    # a part holds about BLOCK documents, however many its band has, and fewer if they are long
+    blocks = staged(told.groupBy("key", "band", "part", "parts").agg(F.collect_list(member).alias("members")), "blocks")
+    # each part goes to those after it, each of which meets those before it in a task of its own
+    later = F.explode(F.sequence(F.col("part") + 1, F.col("parts") - 1)).alias("after")
+    x = blocks.filter(F.col("part") + 1 < F.col("parts")).select("key", "band", "members", later)
+    y = blocks.select("key", F.col("part").alias("after"), F.col("members").alias("other"))
+    between = x.join(y, ["key", "after"]).select("band", "members", "other")
     within = blocks.select("band", "members", F.lit(None).cast(blocks.schema["members"].dataType).alias("other"))
     more = staged(within.unionByName(between).mapInArrow(_verify_blocks(similarity), "a long, b long"), "linked")
     groups = staged(components(links.unionByName(more.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")))), "groups")
@@ -350,7 +363,12 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, entries:
 
 
 def first_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without all but one document of each group."""
+    """``docs`` without all but one document of each group, the one of smallest doc_id.
+
+    Needs doc_id and text; other columns pass through, whatever their names.  Of rows that
+    repeat a doc_id one stays; rows without doc_id, and texts that are null or empty, all
+    stay.  An empty table stays empty.
+    """
     found = staged(near_duplicates(docs, **options), "near")
     lost = staged(found.filter("NOT kept").select("doc_id").distinct(), "lost")
     # a merge join at every size: what is lost grows with the documents

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .stage import drop_staged, numbered, staged, word_count
+from .stage import as_row, drop_staged, numbered, running, staged, unpacked, word_count
 
 
 def cyclic_weights(weights: tuple[float, ...] = (5, 2, 1)):
@@ -41,23 +41,28 @@ def seeded_key(doc_id: Column, text: Column, seed: int) -> Column:
 def water_fill(sources: DataFrame, total: float | None = None, max_epochs: int = 3) -> DataFrame:
     """Adds ``target`` to sources(source, weight, source_size).
 
-    ``total`` words are shared (all words there are, if None).  Only the sums of the
-    clamped and of the free sources come to the driver in a round.  If even all
-    sources at the cap hold less than ``total``, all are clamped.
+    ``total`` words are shared (all words there are, if None).  In the order of what a
+    source can take for its weight, those that are clamped come first; running sums give
+    for each the share a weight would have if all before it were clamped, and the first
+    that can take its share ends them.  So one pass finds the level, however many
+    sources there are.  If even all sources at the cap hold less than ``total``, all are
+    clamped.
     """
     room = F.col("source_size") * F.lit(max_epochs)
-    share, last = 0.0, -1.0
-    while share > last:
-        last = share
-        clamped = F.lit(last) * F.col("weight") > room
-        row = sources.agg(
-            F.sum("source_size").alias("all"),
-            F.sum(F.when(clamped, room)).alias("clamped"),
-            F.sum(F.when(~clamped, F.col("weight"))).alias("weight"),
-        ).first()
-        free = (row["all"] or 0 if total is None else total) - (row["clamped"] or 0)
-        share = float(free) / row["weight"] if row["weight"] else last
-    return sources.withColumn("target", F.least(F.lit(share) * F.col("weight"), room.cast("double")))
+    whole = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    shared = (whole["size"] or 0) if total is None else total
+    ratio = F.col("__room") / F.col("weight")
+    ordered = running(
+        sources.select("source", "weight", room.alias("__room")),
+        [ratio.asc(), F.col("source").isNull().asc(), F.col("source").asc()],
+        {"__upto": F.col("__room"), "__weights": F.col("weight")},
+    )
+    free = F.lit(float(shared)) - (F.col("__upto") - F.col("__room"))
+    share = free / (F.lit(float(whole["weight"] or 0)) - (F.col("__weights") - F.col("weight")))
+    place = F.struct(ratio.alias("ratio"), F.col("source").isNull(), "source")
+    level = ordered.select(share.alias("share"), ratio.alias("ratio"), place.alias("place")).filter("share <= ratio").agg(F.min_by("share", "place")).first()[0]
+    reached = F.lit(level) * F.col("weight") if level is not None else room.cast("double")
+    return sources.withColumn("target", F.least(reached, room.cast("double")))
 
 
 def plan_mix(docs: DataFrame, *, weigh=None, total: float | None = None, max_epochs: int = 3, seed: int = 7, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -111,16 +116,11 @@ def plan_mix(docs: DataFrame, *, weigh=None, total: float | None = None, max_epo
     return sizes, plan
 
 
-def _copies(rows: DataFrame, plan: DataFrame, carried: list[str]) -> DataFrame:
-    """Joins the (few) sources to their rows; Spark broadcasts them only below its size limit."""
-    chosen = F.coalesce(F.col("__d.__key") <= F.col("__p.last_key"), F.lit(False))
-    joined = rows.alias("__d").join(plan.alias("__p"), F.col("__d.__source").eqNullSafe(F.col("__p.source")), "left")
-    return joined.select(
-        *[F.col(f"__d.`{c}`") for c in carried],
-        F.col("__p.source_size").alias("__source_size"),
-        F.col("__p.target").alias("__target"),
-        (F.col("__p.whole") + chosen.cast("long")).alias("__copies"),
-    )
+def _copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Joins the (few) sources to rows(row, __source, __key); Spark broadcasts them only below its size limit."""
+    chosen = F.coalesce(F.col("__key") <= F.col("last_key"), F.lit(False))
+    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("source")), "left")
+    return joined.select("row", "source_size", "target", (F.col("whole") + chosen.cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -131,18 +131,21 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     separate rows, all taken alike.  An empty table gives no rows.
     """
     sizes, plan = plan_mix(docs, **options)
-    rows = sizes.withColumnRenamed("key", "__key").withColumnRenamed("source", "__source")
-    out = _copies(rows, plan, ["doc_id", "size"])
-    taken = F.col("size") * F.col("__copies")
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), taken.alias("taken"), F.col("__copies").alias("copies"))
+    rows = sizes.select(F.struct("doc_id", "size").alias("row"), F.col("source").alias("__source"), F.col("key").alias("__key"))
+    taken = F.col("row.size") * F.col("copies")
+    return _copies(rows, plan).select("row.doc_id", "row.size", "source_size", "target", taken.alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document of ``docs`` as often as it is taken, all its columns kept."""
+    """The mix itself: each document of ``docs`` as often as it is taken, all its columns kept.
+
+    Nulls, ties, repeated rows and empty tables are treated as by ``mix``; other columns
+    pass through, whatever their names.
+    """
     seed = options.get("seed", 7)
     _, plan = plan_mix(docs, **options)
-    rows = docs.withColumns({"__source": F.col("source"), "__key": seeded_key(F.col("doc_id"), F.col("text"), seed)})
-    taken = _copies(rows, plan, docs.columns).filter("__copies > 0")
+    rows = docs.select(as_row(docs).alias("row"), F.col("source").alias("__source"), seeded_key(F.col("doc_id"), F.col("text"), seed).alias("__key"))
     # a row for each copy; the copies of a document are equal rows
-    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))).alias("__copy")
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns], each).drop("__copy")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    taken = _copies(rows, plan).filter("copies > 0").select("row", each)
+    return unpacked(taken, docs.columns)

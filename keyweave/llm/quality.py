@@ -1,7 +1,8 @@
 """Line-first quality rules (DataFrame functions only).
 
 Every line is judged by itself: punctuation (a sentence must end a short one), navigation
-(menu separators, or many short pieces) and boilerplate (phrases that sites repeat).
+(menu separators, or many short pieces) and boilerplate (phrases that sites repeat, where
+the line is short or they make up a share of it).
 Lines that fail go.  A document goes if its statistics fail (``base_failed``) or if
 the failed lines held more than ``max_lost`` of its words.
 """
@@ -11,42 +12,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import NOT_SPACE, SPACE, word_count, word_list
+from .stage import NOT_SPACE, as_row, unpacked, word_count, word_list
 
-# Phrases that mark a line as boilerplate.
+#: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
     "all rights reserved",
+    "this site uses cookies",
+    "we use cookies",
+    "use of cookies",
     "cookie policy",
+    "cookie settings",
+    "accept all cookies",
     "privacy policy",
     "terms of service",
     "terms of use",
-    "use of cookies",
+    "terms and conditions",
     "enable javascript",
+    "javascript is disabled",
+    "browser does not support",
     "click here",
+    "read more",
+    "learn more about our",
+    "skip to content",
+    "skip to main",
+    "back to top",
+    "share on facebook",
+    "share on twitter",
+    "follow us on",
+    "like us on",
     "sign up for our newsletter",
     "subscribe to our newsletter",
+    "enter your email",
+    "log in to",
+    "create an account",
+    "add to cart",
+    "free shipping",
+    "leave a comment",
+    "post a comment",
+    "powered by",
     "lorem ipsum",
 )
+#: A phrase fails a long line only if there is one for so many of its words.
+WORDS_OF_PHRASE = 8
 #: A line passes if it ends like a sentence, closing quotes and brackets allowed,
 SENTENCE_END = r"[.!?…。！？:;;][\"'”’»)\]]*[\x20\x09-\x0D]*\z"
 #: or is longer than headings and menu entries are (in words).
 LONG = 15
 #: Pieces between these make a line a menu.
 MENU = r"[|•·›»>][\x20\x09-\x0D]"
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
+#: The white space that separates words, as characters.
+BLANK = " \t\n\x0b\x0c\r"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words")
 #: Share of a document's words that failing lines may hold.
 MAX_LOST = 0.5
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line stays. A line without words stays: it holds nothing to lose."""
-    words = word_count(line)
-    menu = F.regexp_count(line, F.lit(MENU)) * 3 >= words
-    symbols = F.regexp_count(line, F.lit(SYMBOLS)) > words
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    good = (line.rlike(SENTENCE_END) | (words >= LONG)) & ~(menu & line.rlike(MENU)) & ~symbols & ~boilerplate
-    return ~line.rlike(NOT_SPACE) | good
+def _without(text: Column, characters: str) -> Column:
+    return F.translate(text, characters, "")
+
+
+def line_passes(line: Column, words: Column | None = None) -> Column:
+    """Whether a line of ``words`` words stays. A line without words stays: it holds nothing to lose.
+
+    The cheapest tests come first, and the patterns run on the lines that these leave open.
+    """
+    words = word_count(line) if words is None else words
+    symbols = (F.length(line) - F.length(_without(line, SYMBOLS))) > words
+    menus = F.regexp_count(line, F.lit(MENU))
+    menu = (menus > 0) & (menus * 3 >= words)
+    phrases = F.regexp_count(F.lower(line), F.lit("|".join(BOILERPLATE)))
+    boilerplate = (phrases > 0) & ((words < LONG) | (phrases * WORDS_OF_PHRASE >= words))
+    return (words == 0) | (((words >= LONG) | line.rlike(SENTENCE_END)) & ~symbols & ~menu & ~boilerplate)
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -71,54 +108,57 @@ def _repeated(df: DataFrame) -> DataFrame:
     return df.withColumn("__repeat", F.coalesce(total, F.lit(0).cast("long"))).drop("__windows", "__sorted", "__again")
 
 
-def judge(docs: DataFrame, *, max_lost: float = MAX_LOST, clean_column: str | None = None) -> DataFrame:
-    """``docs`` with the columns of its judgement, all named with two leading underscores.
+def judge(docs: DataFrame, *, max_lost: float = MAX_LOST) -> DataFrame:
+    """``row`` (all columns of ``docs``), the columns of its judgement, and ``clean``, the text without its failed lines.
 
-    __n_words, __word_chars, __n_symbols, __n_dup_lines, __n_repeat_words, __base_failed,
-    __n_lost_words, __kept, and the text without its failed lines in ``clean_column``.
-    A null or empty text has no words, so it fails.  Rows are judged one by one: equal
-    rows get equal results, and an empty table gives none.
+    The judgement is n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, n_lost_words, kept.  A null or empty text has no words, so it fails.
+    Rows are judged one by one: equal rows get equal results, and an empty table gives none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumns({"__words": word_list(F.col("text")), "__lines": F.split(text, "\n")})
-    df = _repeated(df)
-    n_words = F.size("__words").cast("long")
-    lines = F.filter("__lines", lambda x: x.rlike(NOT_SPACE))
-    df = df.withColumns(
-        {
-            "__n_words": n_words,
-            "__word_chars": F.length(F.regexp_replace(text, SPACE + "+", "")).cast("long"),
-            "__n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
-            "__spoken": lines,
-            "__good": F.filter("__lines", line_passes),
-        }
-    )
-    df = df.withColumns(
-        {
-            "__n_dup_lines": (F.size("__spoken") - F.size(F.array_distinct("__spoken"))).cast("long"),
-            "__n_lost_words": F.col("__n_words") - word_count(F.array_join("__good", "\n")),
-            "__n_repeat_words": F.col("__repeat"),
-            "__base_failed": (F.col("__n_words") < 50) | (100 * F.col("__repeat") > 50 * F.col("__n_words")),
-        }
-    )
-    kept = ~F.col("__base_failed") & (F.col("__n_lost_words") <= F.lit(max_lost) * F.col("__n_words"))
-    found = [F.col(f"__{n}").alias(f"__{n}") for n in STATISTICS] + [kept.alias("__kept")]
-    if clean_column:
-        found.append(F.array_join("__good", "\n").alias(clean_column))
+    df = docs.select(as_row(docs).alias("row"), text.alias("__text"), word_list(F.col("text")).alias("__words"))
+    df = _repeated(df).drop("__words")
+    # words don't cross lines, so each is counted once, with its line
+    counted = F.transform(F.split("__text", "\n"), lambda x: F.struct(x.alias("line"), word_count(x).alias("n")))
+    df = df.withColumn("__counted", counted)
+    judged = F.transform("__counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_passes(x["line"], x["n"]).alias("good")))
+    df = df.withColumn("__judged", judged)
+    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    spoken = F.transform(F.filter("__judged", lambda x: x["n"] > 0), lambda x: x["line"])
+    df = df.withColumns({"__n": total("__judged"), "__spoken": spoken})
+    df = df.withColumn("__lost", total(F.filter("__judged", lambda x: ~x["good"])))
+    failed = (F.col("__n") < 50) | (100 * F.col("__repeat") > 50 * F.col("__n"))
+    found = {
+        "n_words": F.col("__n"),
+        "word_chars": F.length(_without(F.col("__text"), BLANK)).cast("long"),
+        "n_symbols": (F.length("__text") - F.length(_without(F.col("__text"), SYMBOLS))).cast("long"),
+        "n_dup_lines": (F.size("__spoken") - F.size(F.array_distinct("__spoken"))).cast("long"),
+        "n_repeat_words": F.col("__repeat"),
+        "base_failed": failed,
+        "n_lost_words": F.col("__lost"),
+        "kept": ~failed & (F.col("__lost") <= F.lit(max_lost) * F.col("__n")),
+        "clean": F.array_join(F.transform(F.filter("__judged", lambda x: x["good"]), lambda x: x["line"]), "\n"),
+    }
     # a generator gives the results out: a later filter on them stays above it, where else
     # it would be pushed down and copies of their expressions evaluated for every word
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*found))))
+    return df.select("row", F.inline(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
 
 
 def quality(docs: DataFrame, **options) -> DataFrame:
-    """One row for each document: doc_id, the statistics, base_failed, n_lost_words, kept."""
-    judged = judge(docs, **options)
+    """One row for each document: doc_id, the statistics, base_failed, kept, n_lost_words.
+
+    Needs doc_id and text; other columns are ignored, whatever their names.
+    """
+    judged = judge(docs.select("doc_id", "text"), **options)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost_words"]
-    return judged.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
+    return judged.select(F.col("row.doc_id").alias("doc_id"), *names)
 
 
 def clean_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, without their failed lines; same columns, n_chars counted anew."""
-    judged = judge(docs, clean_column="__clean", **options).filter("__kept")
-    new = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
-    return judged.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, without their failed lines; same columns, n_chars counted anew.
+
+    Needs text; other columns pass through, whatever their names.  Documents with a null
+    or empty text go, repeated rows all stay or all go, an empty table stays empty.
+    """
+    judged = judge(docs, **options).filter("kept")
+    return unpacked(judged, docs.columns, {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")})

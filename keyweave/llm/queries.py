@@ -75,7 +75,7 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.select(
         "page_id",
         "url",
-        F.regexp_extract("html", r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-z-]+)", 1).alias("declared"),
+        langid.declared_in(F.col("html")).alias("declared"),
         urls.host_of(F.col("url")).alias("host"),
         text.alias("text"),
     )
@@ -155,12 +155,13 @@ repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM again, range(3) AS t(j) G
 split AS (SELECT r, unnest(lines) AS line FROM docs),
 judged AS (
   SELECT r, line, len(regexp_extract_all(line, '{_WORD}+')) AS n, regexp_matches(line, '{_WORD}') AS spoken,
-         len(regexp_extract_all(line, '[|•·›»>]{_SPACE}')) AS menus, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '{quality.MENU}')) AS menus, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
          regexp_matches(line, '[.!?…。！？:;;]["''”’»)\]]*{_SPACE}*\z') OR len(regexp_extract_all(line, '{_WORD}+')) >= {quality.LONG} AS ended,
-         regexp_matches(lower(line), '{"|".join(quality.BOILERPLATE)}') AS boilerplate FROM split),
+         len(regexp_extract_all(lower(line), '{"|".join(quality.BOILERPLATE)}')) AS phrases FROM split),
 summed AS (
   SELECT r, count(*) FILTER (spoken) - count(DISTINCT line) FILTER (spoken) AS n_dup_lines,
-         coalesce(sum(n) FILTER (spoken AND NOT (ended AND NOT (menus > 0 AND menus * 3 >= n) AND symbols <= n AND NOT boilerplate)), 0) AS lost
+         coalesce(sum(n) FILTER (spoken AND NOT (ended AND NOT (menus > 0 AND menus * 3 >= n) AND symbols <= n
+           AND NOT (phrases > 0 AND (n < {quality.LONG} OR phrases * {quality.WORDS_OF_PHRASE} >= n)))), 0) AS lost
   FROM judged GROUP BY r),
 final AS (
   SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
@@ -175,11 +176,12 @@ FROM final
 
 _OP8 = r"""
 WITH RECURSIVE good AS (
-  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, min({'label': label, 'e': list_transform(embedding, lambda x: CAST(x AS DOUBLE))}) AS f FROM embeddings
   WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
+named AS (SELECT vec_id, f.label AS label, f.e AS e FROM good),
 links AS (
-  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b
+  SELECT a.vec_id AS u, b.vec_id AS v FROM named a JOIN named b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
    AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.98),
 reach AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
@@ -241,7 +243,7 @@ spanned AS (
 merged AS (
   SELECT r, template, label, k, n_grams, span, count(DISTINCT tplace) AS held, min(place) AS first_place
   FROM spanned GROUP BY r, template, label, k, n_grams, span),
-believed AS (SELECT * FROM merged WHERE held >= CASE WHEN k = 2 THEN n_grams ELSE {licenses.COVERAGE} * n_grams END),
+believed AS (SELECT * FROM merged WHERE held >= CASE WHEN k = 2 THEN n_grams ELSE least({licenses.COVERAGE} * n_grams, {licenses.PASSAGE}) END),
 per AS (
   SELECT r, count(*) FILTER (k = 2) AS n_base, min(first_place) FILTER (k = 2) AS first_word, max(first_place) FILTER (k = 2) AS last_word,
          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (k = 2) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,

@@ -4,7 +4,8 @@ Every rule is a regular expression.  A literal run of letters and digits that an
 match must hold as a whole token of the URL is a token of the rule; among a rule's
 tokens the one rarest in all URLs becomes its index entry.  The tokens of a URL fetch
 the rules filed under them, and only those run.  A rule without such a token runs on
-every URL.
+every URL.  The index travels with the tasks as long as it is short; a longer list of
+rules is a table that joins the URLs on the token.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stage import staged
+
 TOKEN = r"[a-z0-9]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The rules travel to the executors with the tasks; a larger list is refused.
-MAX_RULES = 200_000
+#: So many rules travel to the executors with the tasks; a longer list is joined as a table.
+TRAVEL = 50_000
 
 # Rules by host and path start.
 PLACES = (
@@ -30,16 +34,20 @@ PLACES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-# Patterns that block, read against host and path; all else is allowed.
-PATTERNS = (
-    r"(^|[.-])spam-farm[./-]",
-    r"(^|[.-])cheap-pills[./-]",
-    r"(^|[./-])casino[./-]",
-    r"(^|[./-])free-money[./-]",
-    r"(^|[./-])adult[./-]",
-    r"/wp-login\.",
-    r"/(ads|adserver|doubleclick)/",
-)
+#: Names that stand as a whole label or path segment of an address that is blocked,
+NAMES = (
+    "adult", "betting", "bingo", "camgirls", "casino", "cheap-pills", "cheap-viagra", "cialis", "crackz", "cryptogiveaway",
+    "escort", "escorts", "fake-watches", "free-money", "freeslots", "gambling", "get-rich", "hentai", "keygen", "link-farm",
+    "live-sex", "malware", "nude", "onlinecasino", "payday-loans", "phishing", "poker", "porn", "porno", "replica-watches",
+    "roulette", "sexcam", "slots", "spam-farm", "sportsbook", "torrentz", "viagra", "warez", "xxx", "xxxvideos",
+)
+#: and paths that hold no text worth keeping.
+PAGES = (
+    r"/wp-login\.", r"/wp-admin/", r"/xmlrpc\.", r"/cgi-bin/", r"/phpmyadmin/",
+    r"/(ads|adserver|doubleclick)/", r"/(login|signin|signup|logout|register)/?$", r"/(cart|checkout|basket)/?$", r"/search/?$", r"/(unsubscribe|tracking|pixel)/",
+)
+#: Patterns that block, read against host and path; all else is allowed.
+PATTERNS = tuple(rf"(^|[./-]){name}[./-]" for name in NAMES) + PAGES
 
 
 @dataclass(frozen=True)
@@ -112,12 +120,15 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?s:.*?)://[^/?#]*([^?#]*)", 1)
 
 
-def token_counts(places: DataFrame, tokens: set[str]) -> dict[str, int]:
+def token_counts(places: DataFrame, tokens: set[str], travel: int = TRAVEL) -> dict[str, int]:
     """How often each of the rules' tokens occurs in all URLs (a row for each rule token at most)."""
     if not tokens:
         return {}
     each = places.select(F.explode(F.regexp_extract_all(F.translate(F.concat("host", "path"), UPPER, LOWER), F.lit(f"({TOKEN})"), F.lit(1))).alias("token"))
-    wanted = each.filter(F.col("token").isin(sorted(tokens)))
+    if len(tokens) <= travel:
+        wanted = each.filter(F.col("token").isin(sorted(tokens)))
+    else:
+        wanted = each.join(places.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "token string"), "token", "left_semi")
     return {r["token"]: r["count"] for r in wanted.groupBy("token").count().collect()}
 
 
@@ -132,16 +143,31 @@ def build_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> tuple[dict[s
     return dict(index), rest
 
 
+@lru_cache(maxsize=None)
+def compiled(pattern: str) -> re.Pattern:
+    """Once for each worker: the standard library's own cache holds a few hundred patterns."""
+    return re.compile(pattern)
+
+
+def tokens_of(place: str) -> set[str]:
+    return set(re.findall(TOKEN, place.translate(str.maketrans(UPPER, LOWER))))
+
+
+def fitting(place: str, rules: list[Rule]) -> tuple[int, str | None, str | None, bool]:
+    """Of the rules that fit: the length, name and verdict of the longest named one, and whether a pattern blocks."""
+    fits = [r for r in rules if compiled(r.pattern).search(place)]
+    named = max((r for r in fits if r.name), key=lambda r: (r.length, r.name), default=None)
+    blocks = any(r.verdict == "block" for r in fits if not r.name)
+    return (named.length, named.name, named.verdict, blocks) if named else (-1, None, None, blocks)
+
+
 def judge_place(host: str, path: str, index: dict[str, list[Rule]], rest: list[Rule]) -> tuple[str | None, str]:
     place = host + path
     fetched = list(rest)
-    for token in set(re.findall(TOKEN, place.translate(str.maketrans(UPPER, LOWER)))):
+    for token in tokens_of(place):
         fetched += index.get(token, ())
-    fits = [r for r in fetched if re.search(r.pattern, place)]
-    named = max((r for r in fits if r.name), key=lambda r: (r.length, r.name), default=None)
-    if named:
-        return named.name, named.verdict
-    return None, "block" if any(r.verdict == "block" for r in fits) else "allow"
+    _, name, verdict, blocks = fitting(place, fetched)
+    return name, verdict or ("block" if blocks else "allow")
 
 
 def _judge(index, rest):
@@ -156,18 +182,55 @@ def _judge(index, rest):
     return run
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT) -> DataFrame:
+FITS = "row long, length int, name string, verdict string, blocks boolean"
+
+
+def _fits(rules_of):
+    """(row, length, name, verdict, blocks) of batches with row and place; ``rules_of`` gives each row's rules."""
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            found = [(r["row"], *fitting(r["place"], rules_of(r))) for r in rows]
+            columns = list(zip(*found)) or [()] * 5
+            types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=["row", "length", "name", "verdict", "blocks"])
+
+    return run
+
+
+def _judge_by_table(places: DataFrame, index: dict[str, list[Rule]], rest: list[Rule], travel: int) -> DataFrame:
+    """The same for any number of rules: indexed ones join on their token, the others run in blocks."""
+    numbered = staged(places.withColumn("row", F.monotonically_increasing_id()), "places")
+    at = numbered.select("row", F.concat("host", "path").alias("place"))
+    spark = places.sparkSession
+    filed = [(token, r.verdict, r.pattern, r.name, r.length) for token, rules in index.items() for r in rules]
+    table = spark.createDataFrame(filed, "token string, rule_verdict string, pattern string, rule_name string, rule_length int")
+    words = F.array_distinct(F.regexp_extract_all(F.translate("place", UPPER, LOWER), F.lit(f"({TOKEN})"), F.lit(1)))
+    fetched = at.withColumn("token", F.explode(words)).join(table, "token").drop("token")
+    one = lambda r: [Rule(r["rule_verdict"], r["pattern"], r["rule_name"], r["rule_length"])]
+    fits = fetched.mapInArrow(_fits(one), FITS)
+    for start in range(0, len(rest), travel):
+        block = rest[start : start + travel]
+        fits = fits.unionByName(at.mapInArrow(_fits(lambda r, block=block: block), FITS))
+    fits = fits.filter("blocks OR name IS NOT NULL")
+    best = fits.groupBy("row").agg(F.max(F.when(F.col("name").isNotNull(), F.struct("length", "name", "verdict"))).alias("best"), F.max("blocks").alias("blocks"))
+    verdict = F.coalesce("best.verdict", F.when(F.col("blocks"), "block").otherwise("allow"))
+    return numbered.join(best, "row", "left").select("page_id", "host", "path", F.col("best.name").alias("rule"), verdict.alias("verdict"))
+
+
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT, *, travel: int = TRAVEL) -> DataFrame:
     """One row for each page: page_id, host, path, rule, verdict.
 
     Needs page_id and url; other columns are ignored.  A url that is null or holds no
     ``://`` has an empty host and path, so no named rule fits it and it is allowed
     unless a pattern fits the empty string.  Equal rows give equal rows; an empty
-    table gives none.
+    table gives none.  More than ``travel`` rules are joined as a table.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} can travel with the tasks")
     places = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    counts = token_counts(places, set().union(*[literal_tokens(r.pattern) for r in rules]) if rules else set())
-    index, rest = build_index(rules, counts)
+    tokens = set().union(*[literal_tokens(r.pattern) for r in rules]) if rules else set()
+    index, rest = build_index(rules, token_counts(places, tokens, travel))
+    if len(rules) > travel:
+        return _judge_by_table(places, index, rest, travel)
     kind = pages.schema["page_id"].dataType.simpleString()
     return places.mapInArrow(_judge(index, rest), f"page_id {kind}, host string, path string, rule string, verdict string")

@@ -193,7 +193,7 @@ def test_links_are_those_of_all_pairs(spark, block):
 
 def test_cells_that_are_not_visited_hold_nothing_near():
     rows = clouds(3, [1] * 300 + [4] * 30)
-    x = embeddings._unit([v for _, v, _ in rows])
+    x = embeddings.unit([v for _, v, _ in rows])
     index = embeddings.MultiIndex(x[:150], embeddings.COSINE, 1.0, 8)
     places = index.places(x)
     near = x @ x.T >= embeddings.COSINE
@@ -208,3 +208,71 @@ def test_traversal_is_in_order_of_the_bound():
     got = embeddings.traverse(left, right, 0.31)
     sums = [left[a] + right[b] for a, b in got]
     assert sums == sorted(sums) and set(got) == {(a, b) for a in range(3) for b in range(2) if left[a] + right[b] <= 0.31}
+
+
+@pytest.mark.parametrize("cosine", [0.98, 0.9])
+def test_the_target_recall_is_reached(cosine):
+    rows = clouds(5, [1] * 1500 + [6] * 150, dim=32)
+    x, labels = embeddings.unit([v for _, v, _ in rows]), np.array([lab for _, _, lab in rows])
+    near = np.triu((x @ x.T >= cosine) & (labels[:, None] == labels[None, :]), 1)
+    visits = {}
+    for recall in (0.9, 0.99, embeddings.RECALL, 1.0):
+        index = embeddings.MultiIndex(x[::2], cosine, recall, 16, labels[::2])
+        places = index.places(x)
+        met = [places[j][0] in places[i][1] if places[i][0] <= places[j][0] else places[i][0] in places[j][1] for i, j in zip(*np.nonzero(near))]
+        assert len(met) > 500 and np.mean(met) >= recall - 0.02, recall
+        visits[recall] = np.mean([len(p[1]) for p in places])
+    assert visits[0.9] < visits[0.99] <= visits[embeddings.RECALL] < visits[1.0]
+
+
+def test_turned_vectors_keep_the_cosine():
+    x = embeddings.unit(np.random.default_rng(2).normal(size=(50, 8)))
+    y = embeddings.turned(x, 0.98, np.random.default_rng(3))
+    assert np.allclose((x * y).sum(axis=1), 0.98) and np.allclose((y * y).sum(axis=1), 1)
+
+
+def test_large_and_small_components_keep_their_links(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.001e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 0.0], 1), (5, [1.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
+def test_rows_that_repeat_a_vector_are_one(spark):
+    v, w, far = [1.0, 0.0, 0.0], [0.999, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, v, 1), (1, v, 1), (2, far, 1), (3, v, 1), (4, w, 1), (4, far, 1), (1, None, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    # of 4's vectors the smaller one, [0, 0, 1], counts
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 1, 1, True)] * 3 + [(2, 1, 2, True), (3, 1, 1, False)] + [(4, 1, 2, False)] * 2
+
+
+def test_crowded_cells_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TOGETHER", 2)
+    monkeypatch.setattr(embeddings, "CROWD", 2)
+    rows = clouds(7, [90, 40] + [1] * 60) + [(500 + i, [float(i % 3), 1.0, 0.0], 1) for i in range(30)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], VEC)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, block=4).collect()} == brute(rows)
+
+
+def test_groups_of_a_block():
+    near = np.zeros((4, 3), bool)
+    near[[0, 1, 1, 3], [0, 0, 1, 2]] = True
+    left, right = embeddings.groups_of(near, np.array([9, 8, 7, 6]), np.array([5, 10, 11]))
+    assert list(left) == [5, 5, 7, 6] and list(right) == [5, 5, 6]
+
+
+def test_leaders_of_many_and_long_texts_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FOLLOWERS", 4)
+    monkeypatch.setattr(minhash, "BLOCK_WORDS", 300)
+    r = random.Random(4)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(base, 0.01, r))) for i in range(40)]
+    rows += [(100 + i, " ".join([f"p{k}" for k in range(160)] + [f"w{r.randrange(9999)}" for _ in range(40)])) for i in range(20)]
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {i: 0 if i < 40 else i for i, _ in rows}
+
+
+def test_hubs_meet_their_links_without_being_gathered(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 3)
+    links = [(0, i) for i in range(1, 30)] + [(i, i + 100) for i in range(1, 30)] + [(500, 501), (501, 502), (502, 503)]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(30)} | {i + 100: 0 for i in range(1, 30)} | {i: 500 for i in range(500, 504)}

@@ -84,7 +84,7 @@ def test_evidence_is_fused(spark, labelled):
     model = langid.train(labelled)
     r = random.Random(3)
     host = [(i, prose("de", 40, r), None, "blog.example") for i in range(50)]
-    d = docs(spark, *host, (100, "in", None, "blog.example"), (101, "in", None, "other.example"), (102, "in", "fr", "x.example"), (103, prose("en", 30, r), "de", "y.de"), (104, None, "en", None), (105, "12 !? 3", None, None), (106, "in", None, "z.fr"))
+    d = docs(spark, *host, (100, "in", None, "blog.example"), (101, "in", None, "other.example"), (102, "<html lang=fr>in", None, "x.example"), (103, prose("en", 30, r), "de", "y.de"), (104, None, "en", None), (105, "12 !? 3", None, None), (106, "in", None, "z.fr"))
     got = {x.doc_id: x for x in langid.identify(d, model).collect()}
     assert got[100].lang == "de"  # the host's prior decides a word of two languages
     assert got[103].lang == "en"  # a text of some length outweighs its declaration
