@@ -6,7 +6,6 @@ Single bits are numbered from a byte's most significant one; the integer fields
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,66 +36,71 @@ def check_width(width: int, signed: bool) -> None:
         raise ValueError("a field has 1 to 64 bits if signed, else 1 to 63")
 
 
-def field_of(data: bytes, offset: int, width: int, signed: bool) -> int:
-    """A field, least significant bit first; 0 if it passes the end."""
-    if (offset + width - 1) // 8 >= len(data):
-        return 0
-    value = int.from_bytes(data, "little") >> offset & ((1 << width) - 1)
-    return value - (1 << width) if signed and value >> (width - 1) else value
+def _bytes(value: Column, first: int, last: int) -> list[Column]:
+    """Bytes as numbers, 0 beyond the end."""
+    digits = F.hex(value)
+    return [F.coalesce(F.conv(F.nullif(F.substring(digits, 2 * at + 1, 2), F.lit("")), 16, 10).cast("long"), F.lit(0).cast("long")) for at in range(first, last + 1)]
 
 
-def field_put(data: bytes, offset: int, width: int, value: int) -> bytes:
-    """The value with its field set; grows as needed."""
-    size = max(len(data), (offset + width - 1) // 8 + 1)
-    mask = (1 << width) - 1
-    whole = int.from_bytes(data, "little") & ~(mask << offset) | (value & mask) << offset
-    return whole.to_bytes(size, "little")
+def _signed(bits: Column, width: int) -> Column:
+    return F.shiftright(F.shiftleft(bits, 64 - width), 64 - width)
 
 
-def field_added(value: int, increment: int, width: int, signed: bool, overflow: str) -> int | None:
-    """WRAP goes round, SAT stays at the limit, FAIL gives None."""
-    low, high = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
-    total = value + increment
-    if low <= total <= high:
-        return total
-    if overflow == "WRAP":
-        return (total - low) % (1 << width) + low
-    return min(max(total, low), high) if overflow == "SAT" else None
+def _unsigned(bits: Column, width: int) -> Column:
+    return bits.bitwiseAND(F.lit((1 << width) - 1).cast("long")) if width < 64 else bits
 
 
 def field_get(value: Column, offset: int, width: int, signed: bool = False) -> Column:
+    """A field, least significant bit first; 0 if it passes the end or there is no value."""
     check_width(width, signed)
-
-    @F.pandas_udf("long")
-    def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: field_of(bytes(v or b""), offset, width, signed))
-
-    return read(value)
-
-
-def field_set(value: Column, offset: int, width: int, new: int) -> Column:
+    first, last, shift = offset // 8, (offset + width - 1) // 8, offset % 8
+    parts = _bytes(value, first, last)
+    low = parts[0]
+    for k, byte in enumerate(parts[1:8], 1):
+        low = low.bitwiseOR(F.shiftleft(byte, 8 * k))
+    bits = F.shiftrightunsigned(low, shift) if shift else low
+    if len(parts) > 8:  # a field of 64 bits or less lies in nine bytes at most
+        bits = bits.bitwiseOR(F.shiftleft(parts[8], 64 - shift))
+    found = _signed(bits, width) if signed else _unsigned(bits, width)
+    return F.when(F.octet_length(value) > last, found).otherwise(F.lit(0).cast("long"))
+
+
+def field_set(value: Column, offset: int, width: int, new: Column | int) -> Column:
+    """The value with its field set; grows as needed, by zero bytes."""
     check_width(width, True)
-
-    @F.pandas_udf("binary")
-    def write(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: field_put(bytes(v or b""), offset, width, new))
-
-    return write(value)
+    new = (F.lit(new) if isinstance(new, int) else new).cast("long")
+    old = F.coalesce(value, F.expr("X''"))
+    first, last, shift = offset // 8, (offset + width - 1) // 8, offset % 8
+    out = []
+    for k, byte in enumerate(_bytes(old, first, last)):
+        begins, ends = max(0, shift - 8 * k), min(8, shift + width - 8 * k)  # bits of this byte the field has
+        mask = ((1 << ends) - 1) & ~((1 << begins) - 1)
+        done = 8 * k - shift  # bits of the field in the bytes before
+        part = F.shiftrightunsigned(new, done) if done > 0 else F.shiftleft(new, -done) if done < 0 else new
+        both = byte.bitwiseAND(F.lit(0xFF & ~mask)).bitwiseOR(part.bitwiseAND(F.lit(mask)))
+        out.append(F.lpad(F.hex(both), 2, "0"))
+    gap = F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(first) - F.octet_length(old), F.lit(0))))
+    tail = F.substring(old, F.lit(last + 2), F.greatest(F.octet_length(old) - last - 1, F.lit(0)))
+    return F.concat(F.substring(old, F.lit(1), F.lit(first)), gap, F.unhex(F.concat(*out)), tail)
+
+
+def field_added(value: Column, increment: int, width: int, signed: bool, overflow: str) -> Column:
+    """WRAP goes round, SAT stays at the limit, FAIL gives null."""
+    low, high = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
+    wide = lambda x: F.lit(str(x)).cast("decimal(30,0)")
+    total = value.cast("decimal(30,0)") + wide(increment)
+    if overflow == "WRAP":
+        total = F.pmod(total - wide(low), wide(1 << width)) + wide(low)
+    elif overflow == "SAT":
+        total = F.least(F.greatest(total, wide(low)), wide(high))
+    else:
+        total = F.when((total >= wide(low)) & (total <= wide(high)), total)
+    return total.cast("long")
 
 
 def field_incrby(value: Column, offset: int, width: int, signed: bool, increment: int, overflow: str = "WRAP") -> Column:
     """struct(result, value): the field after the increment, null where FAIL refused it."""
     check_width(width, signed)
-
-    @F.pandas_udf("result long, value binary")
-    def add(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            data = bytes(v or b"")
-            total = field_added(field_of(data, offset, width, signed), increment, width, signed, overflow)
-            rows.append((total, data if total is None else field_put(data, offset, width, total)))
-        out = pd.DataFrame(rows, columns=["result", "value"])
-        out["result"] = out["result"].astype("Int64")
-        return out
-
-    return add(value)
+    total = field_added(field_get(value, offset, width, signed), increment, width, signed, overflow)
+    put = F.when(total.isNull(), F.coalesce(value, F.expr("X''"))).otherwise(field_set(value, offset, width, total))
+    return F.struct(total.alias("result"), put.alias("value"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,12 +34,18 @@ def hash_tag(key: Column) -> Column:
     return F.nullif(F.regexp_extract(key, r"^[^{]*\{([^}]+)\}", 1), F.lit(""))
 
 
-def hash_slot(key: Column) -> Column:
-    @F.pandas_udf("int")
-    def slot(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: crc16_of(k.encode()) % SLOTS, na_action="ignore").astype("Int32")
+def crc16(data: Column) -> Column:
+    """CRC16 of a binary value, byte by byte in the engine's own functions."""
+    digits = F.hex(data)
+    places = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
+    table = F.array(*[F.lit(c) for c in CRC16])
+    byte = lambda at: F.conv(F.substring(digits, at, F.lit(2)), 16, 10).cast("int")
+    step = lambda crc, at: F.shiftleft(crc, 8).bitwiseAND(F.lit(0xFFFF)).bitwiseXOR(F.get(table, F.shiftright(crc, 8).bitwiseXOR(byte(at))))
+    return F.when(data.isNotNull(), F.when(F.length(digits) > 0, F.aggregate(places, F.lit(0), step)).otherwise(0))
+
 
-    return slot(F.coalesce(hash_tag(key), key))
+def hash_slot(key: Column) -> Column:
+    return F.pmod(crc16(F.encode(F.coalesce(hash_tag(key), key), "UTF-8")), F.lit(SLOTS)).cast("int")
 
 
 def even_owner(slot: Column, nodes: int) -> Column:

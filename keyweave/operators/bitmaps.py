@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import placed
+
 
 def setbit(bits: DataFrame, writes: DataFrame) -> DataFrame:
     """``writes`` (key, offset, bit, seq) over the bits that are set; the last write of a bit wins."""
@@ -39,16 +41,13 @@ def bitpos(bits: DataFrame, value: int, start: int = 0, end: int | None = None)
     The first clear bit is where the set bits stop being as many as their places say:
     found by ranks, without a row for every place.
     """
-    from pyspark.sql import Window as W
-
     last = F.lit(end).cast("long") if end is not None else None
     sizes = byte_length(bits).select("key", (F.col("bytes") * 8 - 1).alias("__last"))
     inside = bits.filter(F.col("offset") >= start)
     if value == 1:
         found = inside.groupBy("key").agg(F.min("offset").alias("pos"))
     else:
-        rank = F.row_number().over(W.partitionBy("key").orderBy("offset")) - 1 + start
-        run = inside.withColumn("__run", rank).filter(F.col("offset") == F.col("__run"))
+        run = placed(inside, ["key"], [F.col("offset")], "__run").filter(F.col("offset") == F.col("__run") + start)
         found = run.groupBy("key").agg((F.max("offset") + 1).alias("pos"))
         found = bits.select("key").distinct().join(found, "key", "left").select("key", F.coalesce("pos", F.lit(start).cast("long")).alias("pos"))
     limit = F.least(F.col("__last"), last) if last is not None else F.col("__last")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .paging import requested
+from .zsets import zadd
 
 
 def geoadd(places: DataFrame) -> DataFrame:
@@ -18,6 +19,14 @@ def geoadd(places: DataFrame) -> DataFrame:
     return places.select("key", "member", checked.alias("score"))
 
 
+def geoadd_into(geos: DataFrame, places: DataFrame, *, nx: bool = False, xx: bool = False, ch: bool = False) -> tuple[DataFrame, DataFrame]:
+    """GEOADD with its options: how many members of each key were added (with ``ch``: added or moved), and the geo sets after."""
+    after = zadd(geos, geoadd(places), nx=nx, xx=xx)
+    counted = F.col("changed") if ch else F.col("added")
+    counts = after.groupBy("key").agg(F.count(F.when(counted, 1)).alias("n")).join(places.select("key").distinct(), "key", "left_semi")
+    return counts, after.select("key", "member", "score")
+
+
 def located(geos: DataFrame) -> DataFrame:
     return geos.withColumns({"lat": geo.latitude(F.col("score")), "lon": geo.longitude(F.col("score"))})
 
@@ -84,5 +93,25 @@ def geosearch_box(geos: DataFrame, lat: float, lon: float, width: float, height:
     return _nearest(found, count, descending)
 
 
+def geosearch(geos: DataFrame, key: str, *, member: bytes | None = None, at: tuple[float, float] | None = None, radius: float | None = None, box: tuple[float, float] | None = None, unit: str = "m", count: int | None = None, descending: bool = False) -> DataFrame:
+    """GEOSEARCH: around a member or a point (lat, lon), within a radius or a box (width, height).
+
+    Exactly one of each pair is given.  A member that is absent is around nothing.
+    """
+    if (member is None) == (at is None) or (radius is None) == (box is None):
+        raise ValueError("a search has one centre and one shape")
+    own = geos.filter(F.col("key") == key)
+    if member is not None:
+        if radius is not None:
+            return georadiusbymember(own, key, member, radius, unit, count=count, descending=descending)
+        centre = located(own.filter(F.col("member") == F.lit(member))).select("lat", "lon").first()
+        if centre is None:
+            return located(own.limit(0)).withColumn("distance", F.lit(0.0))
+        at = (centre["lat"], centre["lon"])
+    if radius is not None:
+        return georadius(own, *at, radius, unit, count=count, descending=descending)
+    return geosearch_box(own, *at, *box, unit, count=count, descending=descending)
+
+
 def stats(geos: DataFrame) -> DataFrame:
     return geos.agg(F.countDistinct("key").alias("total_keys"), F.count(F.lit(1)).alias("total_locations"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.ranges import within
+from ..plans.staging import placed
+from .paging import first_ranks
 
 
 def _sized(lists: DataFrame) -> DataFrame:
@@ -38,27 +39,30 @@ def lpos(lists: DataFrame, value: bytes | str) -> DataFrame:
     return lists.filter(F.col("value") == wanted).groupBy("key").agg(F.min("idx").alias("pos"))
 
 
-def _renumbered(lists: DataFrame, by: list[Column]) -> DataFrame:
-    at = (F.row_number().over(W.partitionBy("key").orderBy(*by)) - 1).cast("long")
-    return lists.select("key", at.alias("idx"), "value")
-
-
 def ltrim(lists: DataFrame, start: int, stop: int) -> DataFrame:
-    return _renumbered(lrange(lists, start, stop), [F.col("idx")])
+    """Indexes are dense, so what is left moves down by what went before it."""
+    kept = lrange(lists, start, stop)
+    first = kept.groupBy("key").agg(F.min("idx").alias("__first"))
+    return kept.join(first, "key").select("key", (F.col("idx") - F.col("__first")).alias("idx"), "value")
 
 
 def push(lists: DataFrame, values: DataFrame, *, left: bool = False, only_existing: bool = False) -> DataFrame:
     """LPUSH, RPUSH and their X forms: ``values`` (key, value, seq), one after the other.
 
-    Pushed on the left, the last pushed comes first.
+    Pushed on the left, the last pushed comes first.  Only what is pushed is numbered;
+    what is there stays, or moves up by their number.
     """
     new = values.select("key", "value", F.col("seq").cast("long").alias("seq"))
     if only_existing:
         new = new.join(lists.select("key").distinct(), "key", "left_semi")
-    side = F.lit(-1 if left else 1)
-    old = lists.select("key", "value", F.lit(0).alias("side"), F.col("idx").alias("at"))
-    both = old.unionByName(new.select("key", "value", side.alias("side"), (F.col("seq") * side).alias("at")))
-    return _renumbered(both, [F.col("side"), F.col("at")])
+    at = placed(new, ["key"], [F.col("seq").desc() if left else F.col("seq").asc()], "idx")
+    if left:
+        many = new.groupBy("key").agg(F.count(F.lit(1)).alias("__many"))
+        old = lists.join(many, "key", "left").select("key", (F.col("idx") + F.coalesce("__many", F.lit(0))).alias("idx"), "value")
+        return old.unionByName(at.select("key", "idx", "value"))
+    sizes = lists.groupBy("key").agg((F.max("idx") + 1).alias("__size"))
+    added = at.join(sizes, "key", "left").select("key", (F.col("idx") + F.coalesce("__size", F.lit(0))).alias("idx"), "value")
+    return lists.select("key", "idx", "value").unionByName(added)
 
 
 def pop(lists: DataFrame, count: int = 1, *, right: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -83,29 +87,39 @@ def lrem(lists: DataFrame, count: int, value: bytes) -> tuple[DataFrame, DataFra
 
     A positive count removes from the head, a negative one from the tail, 0 all.
     """
-    same = F.col("value") == F.lit(value)
-    order = F.col("idx").desc() if count < 0 else F.col("idx").asc()
-    nth = F.when(same, F.row_number().over(W.partitionBy("key", same).orderBy(order)))
-    gone = same if count == 0 else same & (F.col("__nth") <= abs(count))
-    marked = lists.withColumn("__nth", nth).withColumn("__gone", gone)
-    removed = marked.groupBy("key").agg(F.count(F.when(F.col("__gone"), 1)).alias("removed"))
-    return removed, _renumbered(marked.filter("NOT __gone"), [F.col("idx")])
+    same = lists.filter(F.col("value") == F.lit(value)).select("key", "idx")
+    if count:
+        gone = first_ranks(same, [F.col("idx").desc() if count < 0 else F.col("idx").asc()], abs(count), "__nth").select("key", "idx")
+    else:
+        gone = same
+    removed = lists.select("key").distinct().join(gone.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key", "left")
+    removed = removed.select("key", F.coalesce("n", F.lit(0)).alias("removed"))
+    if count:  # few of each list: what is left moves down by those before it
+        few = gone.groupBy("key").agg(F.collect_list("idx").alias("__gone"))
+        marked = lists.join(few, "key", "left").filter(~F.coalesce(F.array_contains("__gone", F.col("idx")), F.lit(False)))
+        before = F.coalesce(F.size(F.filter("__gone", lambda i: i < F.col("idx"))), F.lit(0))
+        return removed, marked.select("key", (F.col("idx") - before).alias("idx"), "value")
+    rest = lists.filter(F.col("value") != F.lit(value)).select("key", "value", F.col("idx").alias("__was"))
+    return removed, placed(rest, ["key"], [F.col("__was")], "idx").select("key", "idx", "value")
 
 
 def linsert(lists: DataFrame, pivot: bytes, value: bytes, *, before: bool = True) -> DataFrame:
     """Beside the first pivot of each list that has one."""
-    at = lpos(lists, pivot).select("key", F.lit(value).alias("value"), (F.col("pos") + (-0.5 if before else 0.5)).alias("at"))
-    both = lists.select("key", "value", F.col("idx").cast("double").alias("at")).unionByName(at)
-    return _renumbered(both, [F.col("at")])
+    at = lpos(lists, pivot).select("key", (F.col("pos") + (0 if before else 1)).alias("__at"))
+    moved = lists.join(at, "key", "left").select("key", (F.col("idx") + F.coalesce((F.col("idx") >= F.col("__at")).cast("int"), F.lit(0))).alias("idx"), "value")
+    return moved.unionByName(at.select("key", F.col("__at").alias("idx"), F.lit(value).alias("value")))
 
 
 def rpoplpush(lists: DataFrame, source: str, destination: str) -> DataFrame:
     """The last element of one list becomes the first of another (or of itself)."""
     last = _sized(lists.filter(F.col("key") == source)).filter(F.col("idx") == F.col("__size") - 1)
-    moved = last.select(F.lit(destination).alias("key"), "value", F.lit(-1).cast("long").alias("idx"))
-    gone = last.select("key", "idx")
-    rest = lists.join(gone, ["key", "idx"], "left_anti")
-    return _renumbered(rest.select("key", "value", "idx").unionByName(moved), [F.col("idx")])
+    moved = last.select(F.lit(destination).alias("key"), F.lit(0).cast("long").alias("idx"), "value")
+    # one row at most: whether there is anything to move, and from where
+    found = last.select(F.col("idx").alias("__last"))
+    marked = lists.join(F.broadcast(found), F.lit(True), "left")
+    rest = marked.filter(~((F.col("key") == source) & F.coalesce(F.col("idx") == F.col("__last"), F.lit(False))))
+    up = ((F.col("key") == destination) & F.col("__last").isNotNull()).cast("int")
+    return rest.select("key", (F.col("idx") + up).alias("idx"), "value").unionByName(moved)
 
 
 def bpop(lists: DataFrame, keys: list[str], *, right: bool = False) -> DataFrame:
@@ -118,6 +132,16 @@ def bpop(lists: DataFrame, keys: list[str], *, right: bool = False) -> DataFrame
     return lists.filter(F.col("key").isin(keys)).withColumn("__order", order).orderBy("__order", at).limit(1).select("key", "value")
 
 
+def delete(lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys that were there and are dropped, and the lists after."""
+    gone = F.col("key").isin(keys)
+    return lists.filter(gone).select("key").distinct(), lists.filter(~gone)
+
+
+def exists(lists: DataFrame, keys: DataFrame) -> DataFrame:
+    return keys.join(lists.select("key"), "key", "left_semi")
+
+
 def nested(lists: DataFrame) -> DataFrame:
     """key, values (an array in order)."""
     rows = F.sort_array(F.collect_list(F.struct("idx", "value")))

@@ -8,24 +8,37 @@ from pyspark.sql import Window as W
 
 from ..functions.glob import glob_match
 from ..functions.ranges import within
+from ..plans.staging import placed
 
 
 def ranked(df: DataFrame, by: list[Column], name: str = "rank", key: str = "key") -> DataFrame:
-    """A 0-based rank within each key."""
-    return df.withColumn(name, (F.row_number().over(W.partitionBy(key).orderBy(*by)) - 1).cast("long"))
+    """A 0-based rank within each key, however large one is."""
+    return placed(df, [key], by, name)
 
 
-def sliced(df: DataFrame, by: list[Column], start: int, stop: int, name: str = "rank", key: str = "key") -> DataFrame:
+def first_ranks(df: DataFrame, by: list[Column], count: int, name: str = "rank", key: str = "key") -> DataFrame:
+    """The first ``count`` of each key with their ranks: Spark keeps no more than these of a key in each task before it shuffles."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*by))
+    return df.withColumn(name, (rank - 1).cast("long")).filter(F.col(name) < count)
+
+
+def sizes(df: DataFrame, key: str = "key") -> DataFrame:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
+
+
+def sliced(df: DataFrame, by: list[Column], back: list[Column], start: int, stop: int, name: str = "rank", key: str = "key") -> DataFrame:
     """Rows of rank ``start`` to ``stop`` in each key; negative ranks count from the end.
 
-    A size is only counted where a negative rank needs it; otherwise the filter on the
-    rank lets Spark keep no more than the first rows of a key in each task.
+    Slices near the beginning, or near the end (``back`` is the reverse order), rank no
+    more than the rows up to there; only those across a key rank all of it.
     """
-    placed = ranked(df, by, name, key)
     rank = F.col(name)
     if start >= 0 and stop >= 0:
-        return placed.filter((rank >= start) & (rank <= stop))
-    sized = placed.withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(key)))
+        return first_ranks(df, by, stop + 1, name, key).filter(rank >= start)
+    if start < 0 and stop < 0:
+        near = first_ranks(df, back, -start, name, key).filter(rank >= -stop - 1)
+        return near.join(sizes(df, key), key).withColumn(name, F.col("__size") - 1 - rank).drop("__size")
+    sized = ranked(df, by, name, key).join(sizes(df, key), key)
     return sized.filter(within(rank, F.col("__size"), start, stop)).drop("__size")
 
 
@@ -35,10 +48,9 @@ def page(df: DataFrame, by: Column, text: Column, cursor: int, count: int, patte
     The window is cut first and the pattern applied within it, so a page may hold fewer
     rows than ``count``, or none, and not be the last.
     """
-    placed = ranked(df, [by], "__at", key).withColumn("__size", F.count(F.lit(1)).over(W.partitionBy(key)))
-    cut = placed.filter((F.col("__at") >= cursor) & (F.col("__at") < cursor + count))
+    cut = first_ranks(df, [by], cursor + count, "__at", key).filter(F.col("__at") >= cursor).join(sizes(df, key), key)
     after = F.when(F.col("__size") > cursor + count, F.lit(cursor + count)).otherwise(F.lit(0)).cast("long")
-    cut = cut.withColumn("next_cursor", after).drop("__at", "__size")
+    cut = cut.withColumn("next_cursor", after).sortWithinPartitions(key, "__at").drop("__at", "__size")
     return cut.filter(glob_match(text, pattern)) if pattern else cut
 
 

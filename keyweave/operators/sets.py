@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .paging import page, ranked
+from .paging import first_ranks, page
 
 
 def _of(sets: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,23 +72,30 @@ def smove(sets: DataFrame, source: str, destination: str, member: bytes) -> Data
 
 def spop(sets: DataFrame, count: int = 1) -> tuple[DataFrame, DataFrame]:
     """The first ``count`` members of every set in byte order, and the sets after."""
-    placed = ranked(sets, [F.col("member")])
-    return placed.filter(F.col("rank") < count).select("key", "member"), placed.filter(F.col("rank") >= count).select("key", "member")
+    popped = first_ranks(sets, [F.col("member")], count).select("key", "member")
+    return popped, sets.join(popped, ["key", "member"], "left_anti")
 
 
 def srandmember(sets: DataFrame, count: int = 1, seed: int = 0) -> DataFrame:
     """``count`` different members of every set in a seeded order; all if there are fewer."""
     by = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("member").cast("string"))), F.col("member")]
-    return ranked(sets, by).filter(F.col("rank") < count).select("key", "member")
+    return first_ranks(sets, by, count).select("key", "member")
 
 
 def sscan(sets: DataFrame, cursor: int, count: int, pattern: str | None = None) -> DataFrame:
     return page(sets, F.col("member"), F.decode("member", "UTF-8"), cursor, count, pattern)
 
 
+def delete(sets: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The keys that were there and are dropped, and the sets after."""
+    gone = F.col("key").isin(keys)
+    return sets.filter(gone).select("key").distinct(), sets.filter(~gone)
+
+
 def nested(sets: DataFrame) -> DataFrame:
     return sets.groupBy("key").agg(F.sort_array(F.collect_set("member")).alias("members"))
 
 
 def stats(sets: DataFrame) -> DataFrame:
-    return sets.agg(F.countDistinct("key").alias("total_sets"), F.count(F.lit(1)).alias("total_members"))
+    per = sets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("member")).alias("b"))
+    return per.agg(F.count(F.lit(1)).alias("total_sets"), F.sum("n").alias("total_members"), F.avg("n").alias("avg_members"), F.sum("b").alias("total_bytes"))

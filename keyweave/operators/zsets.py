@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .paging import page, ranked, requested, sliced
+from .paging import first_ranks, page, ranked, requested, sliced
 
 
 def order() -> list[Column]:
@@ -26,11 +25,11 @@ def zrevrank(zsets: DataFrame) -> DataFrame:
 
 
 def zrange(zsets: DataFrame, start: int, stop: int) -> DataFrame:
-    return sliced(zsets, order(), start, stop)
+    return sliced(zsets, order(), reverse(), start, stop)
 
 
 def zrevrange(zsets: DataFrame, start: int, stop: int) -> DataFrame:
-    return sliced(zsets, reverse(), start, stop)
+    return sliced(zsets, reverse(), order(), start, stop)
 
 
 def zrangebyscore(zsets: DataFrame, low: float, high: float) -> DataFrame:
@@ -55,13 +54,13 @@ def zmscore(zsets: DataFrame, key: str, members: list[bytes]) -> DataFrame:
 
 
 def zpopmin(zsets: DataFrame, count: int = 1) -> tuple[DataFrame, DataFrame]:
-    placed = zrank(zsets)
-    return placed.filter(F.col("rank") < count), placed.filter(F.col("rank") >= count).drop("rank")
+    popped = first_ranks(zsets, order(), count)
+    return popped, zrem(zsets, popped)
 
 
 def zpopmax(zsets: DataFrame, count: int = 1) -> tuple[DataFrame, DataFrame]:
-    placed = zrevrank(zsets)
-    return placed.filter(F.col("rank") < count), placed.filter(F.col("rank") >= count).drop("rank")
+    popped = first_ranks(zsets, reverse(), count)
+    return popped, zrem(zsets, popped)
 
 
 def bzpop(zsets: DataFrame, keys: list[str], *, largest: bool = False) -> DataFrame:
@@ -171,5 +170,4 @@ def zttl(expires_at: Column, now: int) -> Column:
 
 def top(zsets: DataFrame, count: int) -> DataFrame:
     """ZREVRANGE 0 count-1 of every key with the rank limit where Spark can use it."""
-    rank = F.row_number().over(W.partitionBy("key").orderBy(*reverse()))
-    return zsets.withColumn("rank", (rank - 1).cast("long")).filter(F.col("rank") < count)
+    return first_ranks(zsets, reverse(), count)

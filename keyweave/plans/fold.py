@@ -4,17 +4,27 @@ Most operations need no order beyond "the last wins" and are aggregates
 (``latest_values``, ``counters``).  Conditional ones (SET NX/XX/KEEPTTL, ZADD NX/GT,
 list pushes and pops) depend on all before them; they are folded in order, a key by
 one task, which holds that key's state alone, and keys spread over the cluster.
+
+An operation that its key refuses, that is unknown or lacks what it needs changes
+nothing: its reply says why, and the fold of all others goes on.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import deque
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import folded
 
 STATE = "key string, type string, member binary, value binary, num double, expires_at_ms long"
-REPLIES = "seq long, key string, op string, ok boolean, value binary, num double"
+#: ``whole`` is an integer answer, ``num`` one that need not be; ``error`` says why nothing was done.
+REPLIES = "seq long, key string, op string, ok boolean, value binary, num double, whole long, error string"
+_INTEGER = re.compile(rb"[+-]?[0-9]+").fullmatch
+LONG = 1 << 63
 
 
 def latest_values(oplog: DataFrame) -> DataFrame:
@@ -30,8 +40,57 @@ def counters(oplog: DataFrame) -> DataFrame:
     return oplog.filter(F.col("op").isin("INCRBY", "DECRBY")).groupBy("key").agg(F.sum(sign.cast("long")).alias("counter"))
 
 
-class Conflict(ValueError):
-    """An operation that its key's state refuses."""
+class Refused(ValueError):
+    """An operation that its key's state refuses, with the reason."""
+
+
+def integer(text: bytes | None) -> int:
+    """A 64-bit integer written as digits with at most a sign; absent is 0."""
+    if text is None:
+        return 0
+    if not _INTEGER(text) or not -LONG <= int(text) < LONG:
+        raise Refused("value is not an integer or out of range")
+    return int(text)
+
+
+def given(row: dict) -> int:
+    """The integer an operation brings: ``by`` among its arguments where a double could not hold it, else ``num``."""
+    args = row["args"]
+    if "by" in args:
+        return integer(args["by"].encode())
+    num = row["num"]
+    if num is None or not math.isfinite(num) or num != int(num):
+        raise Refused("increment is not an integer")
+    return int(num)
+
+
+def added(old: int, more: int) -> int:
+    if not -LONG <= old + more < LONG:
+        raise Refused("increment or decrement would overflow")
+    return old + more
+
+
+def number(row: dict) -> float:
+    if row["num"] is None:
+        raise Refused("a number is missing")
+    return row["num"]
+
+
+def present(row: dict, *names: str) -> None:
+    for name in names:
+        if row[name] is None:
+            raise Refused(f"{name} is missing")
+
+
+class Reply(tuple):
+    """(done, the value, the number, the integer it answers with)."""
+
+    def __new__(cls, done: bool, value: bytes | None = None, num: float | None = None, whole: int | None = None):
+        return super().__new__(cls, (bool(done), value, num, whole))
+
+
+def by_score(item: tuple[bytes, float]) -> tuple:
+    return not math.isnan(item[1]), 0.0 if math.isnan(item[1]) else item[1], item[0]
 
 
 class Key:
@@ -43,118 +102,179 @@ class Key:
         self.zset: dict[bytes, float] = {}
         self.hash: dict[bytes, bytes] = {}
         self.set: set[bytes] = set()
-        self.list: list[bytes] = []
+        self.list: deque[bytes] = deque()
 
     def live(self, now: int) -> bool:
         return self.string is not None and (self.expires is None or self.expires > now)
 
-    def apply(self, row: dict) -> tuple[bool, bytes | None, float | None]:
-        """(done, the value it answers with, the number it answers with)."""
-        args = dict(row["args"]) if row["args"] is not None else {}
-        now, value, member = int(row["ts_ms"]), row["value"], row["member"]
+    def apply(self, row: dict) -> tuple:
+        """(done, value, number, integer, error) of one operation."""
+        row = row | {"args": dict(row["args"]) if row["args"] is not None else {}}
+        now = row["ts_ms"] or 0
         if not self.live(now):
             self.string = self.expires = None
-        op = row["op"].upper()
-        handler = getattr(self, f"do_{op.lower()}", None)
-        if handler is None:
-            raise Conflict(f"unknown operation {op}")
-        return handler(value, member, row["num"], args, now)
-
-    def do_set(self, value, member, num, args, now):
+        handler = getattr(self, f"do_{(row['op'] or '').lower()}", None)
+        try:
+            if handler is None:
+                raise Refused("unknown operation")
+            return (*handler(row, row["args"], now), None)
+        except Refused as why:
+            return False, None, None, None, str(why)
+
+    # strings
+
+    def do_set(self, row, args, now):
+        present(row, "value")
         there, old = self.live(now), self.string
         answer = old if "GET" in args else None
         if ("NX" in args and there) or ("XX" in args and not there):
-            return False, answer if "NX" in args else None, None
-        given = int(args["expires_at_ms"]) if "expires_at_ms" in args else None
-        self.string, self.expires = value, self.expires if "KEEPTTL" in args else given
-        return True, answer, None
+            return Reply(False, answer if "NX" in args else None)
+        at = integer(args["expires_at_ms"].encode()) if "expires_at_ms" in args else None
+        self.string, self.expires = row["value"], self.expires if "KEEPTTL" in args else at
+        return Reply(True, answer)
 
-    def do_del(self, value, member, num, args, now):
+    def do_del(self, row, args, now):
         there = self.live(now) or bool(self.zset or self.hash or self.set or self.list)
         self.__init__()
-        return there, None, None
+        return Reply(there)
 
-    def do_incrby(self, value, member, num, args, now):
-        old = int(self.string) if self.string is not None else 0
-        new = old + int(num)
-        if not -(1 << 63) <= new < 1 << 63:
-            return False, None, None
+    def _counted(self, more: int) -> Reply:
+        new = added(integer(self.string), more)
         self.string = str(new).encode()
-        return True, None, float(new)
+        return Reply(True, whole=new)
+
+    def do_incrby(self, row, args, now):
+        return self._counted(given(row))
 
-    def do_append(self, value, member, num, args, now):
-        self.string = (self.string or b"") + value
-        return True, None, float(len(self.string))
+    def do_decrby(self, row, args, now):
+        return self._counted(-given(row))
 
-    def do_getset(self, value, member, num, args, now):
-        old, self.string, self.expires = self.string, value, None
-        return True, old, None
+    def do_append(self, row, args, now):
+        self.string = (self.string or b"") + (row["value"] or b"")
+        return Reply(True, whole=len(self.string))
 
-    def do_expire(self, value, member, num, args, now):
+    def do_getset(self, row, args, now):
+        present(row, "value")
+        old, self.string, self.expires = self.string, row["value"], None
+        return Reply(True, old)
+
+    def do_expire(self, row, args, now):
+        seconds = given(row)
         if not self.live(now):
-            return False, None, None
-        self.expires = now + int(num) * 1000
-        return True, None, None
+            return Reply(False)
+        self.expires = now + seconds * 1000
+        return Reply(True)
 
-    def do_persist(self, value, member, num, args, now):
+    def do_persist(self, row, args, now):
         had, self.expires = self.expires is not None, None
-        return had, None, None
+        return Reply(had)
+
+    # sorted sets
 
-    def do_zadd(self, value, member, num, args, now):
+    def do_zadd(self, row, args, now):
+        present(row, "member")
+        member, num = row["member"], number(row)
         old = self.zset.get(member)
         refused = ("NX" in args and old is not None) or ("XX" in args and old is None)
         if old is not None:
             refused = refused or ("GT" in args and num <= old) or ("LT" in args and num >= old)
         if refused:
-            return False, None, 0.0
+            return Reply(False, whole=0)
         self.zset[member] = old + num if "INCR" in args and old is not None else num
         changed = old is None or self.zset[member] != old
-        return True, None, float(changed if "CH" in args else old is None)
+        return Reply(True, whole=int(changed if "CH" in args else old is None))
+
+    def do_zincrby(self, row, args, now):
+        present(row, "member")
+        self.zset[row["member"]] = self.zset.get(row["member"], 0.0) + number(row)
+        return Reply(True, num=self.zset[row["member"]])
+
+    def do_zrem(self, row, args, now):
+        return Reply(self.zset.pop(row["member"], None) is not None)
 
-    def do_zincrby(self, value, member, num, args, now):
-        self.zset[member] = self.zset.get(member, 0.0) + num
-        return True, None, self.zset[member]
+    def _zpop(self, largest: bool) -> Reply:
+        if not self.zset:
+            return Reply(False)
+        member, score = (max if largest else min)(self.zset.items(), key=by_score)
+        del self.zset[member]
+        return Reply(True, member, score)
 
-    def do_zrem(self, value, member, num, args, now):
-        return self.zset.pop(member, None) is not None, None, None
+    def do_zpopmin(self, row, args, now):
+        return self._zpop(False)
 
-    def do_hset(self, value, member, num, args, now):
-        new = member not in self.hash
+    def do_zpopmax(self, row, args, now):
+        return self._zpop(True)
+
+    # hashes
+
+    def do_hset(self, row, args, now):
+        present(row, "member", "value")
+        new = row["member"] not in self.hash
         if "NX" in args and not new:
-            return False, None, None
-        self.hash[member] = value
-        return new, None, None
+            return Reply(False)
+        self.hash[row["member"]] = row["value"]
+        return Reply(new)
 
-    def do_hdel(self, value, member, num, args, now):
-        return self.hash.pop(member, None) is not None, None, None
+    def do_hdel(self, row, args, now):
+        return Reply(self.hash.pop(row["member"], None) is not None)
 
-    def do_sadd(self, value, member, num, args, now):
-        new = member not in self.set
-        self.set.add(member)
-        return new, None, None
+    def do_hincrby(self, row, args, now):
+        present(row, "member")
+        new = added(integer(self.hash.get(row["member"])), given(row))
+        self.hash[row["member"]] = str(new).encode()
+        return Reply(True, whole=new)
 
-    def do_srem(self, value, member, num, args, now):
-        there = member in self.set
-        self.set.discard(member)
-        return there, None, None
+    # sets
 
-    def do_lpush(self, value, member, num, args, now):
-        if "X" in args and not self.list:
-            return False, None, 0.0
-        self.list.insert(0, value)
-        return True, None, float(len(self.list))
+    def do_sadd(self, row, args, now):
+        present(row, "member")
+        new = row["member"] not in self.set
+        self.set.add(row["member"])
+        return Reply(new)
 
-    def do_rpush(self, value, member, num, args, now):
-        if "X" in args and not self.list:
-            return False, None, 0.0
-        self.list.append(value)
-        return True, None, float(len(self.list))
+    def do_srem(self, row, args, now):
+        there = row["member"] in self.set
+        self.set.discard(row["member"])
+        return Reply(there)
 
-    def do_lpop(self, value, member, num, args, now):
-        return (True, self.list.pop(0), None) if self.list else (False, None, None)
+    # lists
 
-    def do_rpop(self, value, member, num, args, now):
-        return (True, self.list.pop(), None) if self.list else (False, None, None)
+    def _push(self, row, args, put) -> Reply:
+        present(row, "value")
+        if "X" in args and not self.list:
+            return Reply(False, whole=0)
+        put(row["value"])
+        return Reply(True, whole=len(self.list))
+
+    def do_lpush(self, row, args, now):
+        return self._push(row, args, self.list.appendleft)
+
+    def do_rpush(self, row, args, now):
+        return self._push(row, args, self.list.append)
+
+    def do_lpop(self, row, args, now):
+        return Reply(True, self.list.popleft()) if self.list else Reply(False)
+
+    def do_rpop(self, row, args, now):
+        return Reply(True, self.list.pop()) if self.list else Reply(False)
+
+    def do_lset(self, row, args, now):
+        present(row, "value")
+        at = given(row)
+        if not -len(self.list) <= at < len(self.list):
+            raise Refused("index is out of range")
+        self.list[at] = row["value"]
+        return Reply(True)
+
+    def do_ltrim(self, row, args, now):
+        start, stop = integer(args.get("start", "0").encode()), integer(args.get("stop", "-1").encode())
+        n = len(self.list)
+        first, last = max(start + n, 0) if start < 0 else start, stop + n if stop < 0 else min(stop, n - 1)
+        for _ in range(n - 1 - last if last >= first else n):
+            self.list.pop()
+        for _ in range(min(first, len(self.list))):
+            self.list.popleft()
+        return Reply(True)
 
     def rows(self, key: str):
         if self.string is not None:
@@ -169,6 +289,10 @@ class Key:
             yield key, "list", None, v, float(i), None
 
 
+#: Operations that the fold knows.
+OPERATIONS = tuple(sorted(n[3:].upper() for n in vars(Key) if n.startswith("do_")))
+
+
 def state_after(oplog: DataFrame) -> DataFrame:
     """All that every key holds once the log is applied in order of seq."""
 
@@ -176,7 +300,7 @@ def state_after(oplog: DataFrame) -> DataFrame:
         state.apply(row)
         return []
 
-    return folded(oplog, "key", Key, step, Key.rows, STATE, {"num": "float64", "expires_at_ms": "Int64"})
+    return folded(oplog, "key", Key, step, Key.rows, STATE)
 
 
 def replies(oplog: DataFrame) -> DataFrame:
@@ -185,7 +309,7 @@ def replies(oplog: DataFrame) -> DataFrame:
     def step(state: Key, row: dict) -> list[tuple]:
         return [(row["seq"], row["key"], row["op"], *state.apply(row))]
 
-    return folded(oplog, "key", Key, step, lambda state, key: [], REPLIES, {"num": "float64"})
+    return folded(oplog, "key", Key, step, lambda state, key: [], REPLIES)
 
 
 def state_as_oplog(state: DataFrame) -> DataFrame:

@@ -8,33 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Arrow's types of the columns that folds give out.
+TYPES = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "timestamp_ntz": pa.timestamp("us")}
 
-def folded(rows: DataFrame, key: str, start: Callable, step: Callable, finish: Callable, schema: str, nullable: dict[str, str] | None = None) -> DataFrame:
+
+def folded(rows: DataFrame, key: str, start: Callable, step: Callable, finish: Callable, schema: str, by: str = "seq") -> DataFrame:
     """Rows of ``schema`` from ``step(state, row)`` and, after a key's last row, ``finish(state, key)``.
 
-    Both give tuples; ``start()`` makes a key's state.  ``nullable`` names pandas types
-    of integer columns that can be null.
+    Both give tuples; ``start()`` makes a key's state.  Rows are dicts in which absent
+    values are None, integers stay integers and NaN is a number.
     """
-    columns = [part.split()[0] for part in schema.split(", ")]
+    fields = [part.split() for part in schema.split(", ")]
+    names, types = [f[0] for f in fields], [TYPES[f[1]] for f in fields]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for part in parts:
-            out = []
-            for row in part.to_dict("records"):
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
                 if state is None or row[key] != current:
                     if state is not None:
                         out += finish(state, current)
                     current, state = row[key], start()
                 out += step(state, row)
             if out:
-                yield pd.DataFrame(out, columns=columns).astype(nullable or {})
+                yield packed(out)
         if state is not None:
             out = list(finish(state, current))
             if out:
-                yield pd.DataFrame(out, columns=columns).astype(nullable or {})
+                yield packed(out)
 
-    return rows.repartition(key).sortWithinPartitions(key, "seq").mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, by).mapInArrow(run, schema)

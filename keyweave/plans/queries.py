@@ -10,8 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits as bit
-from ..functions import geo, slots, topics
+from ..functions import geo, topics
 from ..operators import bitmaps, geosets, governance, hashes, hll, keyspace, lists, sets, strings, zsets
 from ..sources import keyspaces as ks
 from ..streaming import groups, pubsub, queues, rooms, rx
@@ -341,11 +340,6 @@ def set_sunion(s, d):
     return sets.sunion(ks.sets(s, d), ["click", "error", "absent"]).select(text("member"))
 
 
-@query("SELECT member FROM set_ WHERE key = 'view' EXCEPT SELECT member FROM set_ WHERE key = 'signup'")
-def set_sdiff(s, d):
-    return sets.sdiff(ks.sets(s, d), ["view", "signup"]).select(text("member"))
-
-
 @query("SELECT key, member FROM set_ UNION ALL SELECT 'both', member FROM (SELECT member FROM set_ WHERE key = 'click' INTERSECT SELECT member FROM set_ WHERE key = 'error')")
 def set_sinterstore(s, d):
     st = ks.sets(s, d)
@@ -563,30 +557,21 @@ def bitmap_setbit(s, d):
     return bitmaps.setbit(b, writes)
 
 
-@query()
-def bitmap_bitfield(s, d):
-    """GET, SET and INCRBY on fields of customers' names."""
-    c = ks.kv(s, d).select("key", "value")
-    added = bit.field_incrby(F.col("value"), 4, 12, True, 1000, "SAT")
-    got = c.select("key", bit.field_get(F.col("value"), 4, 12, True).alias("before"), added.alias("a"), bit.field_set(F.col("value"), 0, 8, 65).alias("put"))
-    return got.select("key", "before", F.col("a.result").alias("after"), F.hex("a.value").alias("value"), F.hex("put").alias("put"))
-
-
 # distinct counts ---------------------------------------------------------------------
 
-@query("SELECT event_type AS key, true AS near FROM events GROUP BY 1")
+@query("SELECT event_type AS key, count(DISTINCT user_id) AS n, true AS near FROM events GROUP BY 1")
 def hll_pfcount(s, d):
     e = ks.elements(s, d)
     exact = e.groupBy("key").agg(F.countDistinct("element").alias("n"))
-    return hll.pfcount(hll.pfadd(e)).join(exact, "key").select("key", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1), 0.05 * F.col("n"))).alias("near"))
+    return hll.pfcount(hll.pfadd(e)).join(exact, "key").select("key", "n", (F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1), 0.05 * F.col("n"))).alias("near"))
 
 
-@query("SELECT true AS near")
+@query("SELECT count(DISTINCT l_orderkey) AS n, true AS near FROM lineitem")
 def hll_pfmerge(s, d):
     lines = ks.table(s, d, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_orderkey").alias("element"))
     merged = hll.pfmerge(hll.pfadd(lines), "all", ["A", "N", "R"]).filter("key = 'all'")
     exact = lines.agg(F.countDistinct("element").alias("n"))
-    return hll.pfcount(merged).crossJoin(exact).select((F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
+    return hll.pfcount(merged).crossJoin(exact).select("n", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("near"))
 
 
 # geo ---------------------------------------------------------------------------------
@@ -789,21 +774,6 @@ def queue_priority_order(s, d):
     return queues.delivery_order(ks.queue_messages(s, d)).select("queue", "id", F.col("place").cast("long").alias("place"))
 
 
-@query()
-def queue_outcomes(s, d):
-    return queues.outcomes(ks.queue_operations(s, d), queues.Limits(ack_deadline_secs=30))
-
-
-@query()
-def queue_state(s, d):
-    return queues.state_after(ks.queue_operations(s, d), queues.Limits(ack_deadline_secs=30))
-
-
-@query()
-def queue_stats(s, d):
-    return queues.stats(queues.outcomes(ks.queue_operations(s, d), queues.Limits(ack_deadline_secs=30)))
-
-
 # routing and feeds -------------------------------------------------------------------
 
 _ROUTES = ", ".join(f"('{who}', '{pattern}', '{topics.topic_regex(pattern)}')" for who, pattern in ks.SUBSCRIPTIONS)
@@ -861,13 +831,6 @@ def rx_merge(s, d):
 
 # slots, tenants, quotas, eviction ----------------------------------------------------
 
-@query()
-def slot_of_keys(s, d):
-    """CRC16 slots of tagged keys, and the node each is on."""
-    keys = ks.tagged_keys(s, d)
-    return keys.select("key", slots.hash_slot(F.col("key")).alias("slot")).withColumn("node", slots.even_owner(F.col("slot"), 3))
-
-
 @query("SELECT CAST(c_custkey * 7919 % 16384 AS INT) AS slot, CASE WHEN c_custkey * 7919 % 16384 < 5461 THEN 'n0' WHEN c_custkey * 7919 % 16384 < 10922 THEN 'n1' ELSE 'n2' END AS node FROM customer")
 def slot_owner(s, d):
     given = ks.table(s, d, "customer").select((F.col("c_custkey") * 7919 % 16384).cast("int").alias("slot"))
@@ -895,11 +858,11 @@ def quota_storage(s, d):
     return governance.storage_quota(usage, limits)
 
 
-@query("SELECT key, size FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY last_access, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(size) OVER () AS total FROM (SELECT 'order:' || o_orderkey AS key, CAST(o_totalprice AS BIGINT) AS size, o_orderkey * 7919 % 10007 AS last_access FROM orders)) WHERE freed >= total - 500000")
+@query("SELECT key, size FROM (SELECT *, coalesce(sum(size) OVER (ORDER BY last_access, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed, sum(size) OVER () AS total FROM (SELECT 'order:' || o_orderkey AS key, CAST(o_totalprice AS BIGINT) AS size, o_orderkey * 7919 % 10007 AS last_access FROM orders)) WHERE freed >= total - 90000000")
 def evict_lru(s, d):
     o = ks.table(s, d, "orders")
-    entries = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), F.round("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") * 7919 % 10007).alias("last_access"), F.lit(None).cast("long").alias("expires_at_ms"), F.lit(0).cast("long").alias("freq"))
-    return governance.evict(entries, "allkeys-lru", 500_000).select("key", "size")
+    entries = o.select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("key"), F.rint("o_totalprice").cast("long").alias("size"), (F.col("o_orderkey") * 7919 % 10007).alias("last_access"), F.lit(None).cast("long").alias("expires_at_ms"), F.lit(0).cast("long").alias("freq"))
+    return governance.evict(entries, "allkeys-lru", 90_000_000).select("key", "size")
 
 
 @query("SELECT event_id AS id, CAST(value AS BIGINT) AS duration_us FROM events WHERE CAST(value AS BIGINT) >= 50 ORDER BY event_id DESC LIMIT 100")
@@ -922,22 +885,3 @@ def oplog_of(s, d):
 @query("SELECT 'c:' || o_custkey AS key, max_by(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY o_custkey HAVING max(o_orderkey) % 7 <> 0")
 def oplog_latest(s, d):
     return fold.latest_values(oplog_of(s, d)).select("key", text("value"))
-
-
-@query()
-def oplog_state(s, d):
-    return fold.state_after(oplog_of(s, d)).select("key", "type", text("value"), "expires_at_ms")
-
-
-@query()
-def oplog_replies(s, d):
-    return fold.replies(oplog_of(s, d)).select("seq", "key", "op", "ok")
-
-
-@query()
-def oplog_recovered(s, d):
-    """State from a snapshot at the middle of the log and its tail: the same as the whole fold's."""
-    log = oplog_of(s, d)
-    middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
-    state = fold.state_after(log.filter(F.col("seq") <= middle))
-    return fold.recover(state, log.filter(F.col("seq") > middle)).select("key", "type", text("value"), "expires_at_ms")

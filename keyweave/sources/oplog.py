@@ -7,6 +7,7 @@ ordered by ``seq``.  A snapshot is a folder with a table for each relation and t
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,36 @@ def append(operations: DataFrame, path: str) -> None:
     operations.write.mode("append").parquet(path)
 
 
+def claim(spark: SparkSession, path: str, seq: int) -> bool:
+    """Whether this caller, and no other, may write the operations from ``seq`` on.
+
+    The claim is a file whose creation fails if it is there, in one step on local and
+    distributed file systems; an object store must be one that creates conditionally.
+    Readers of the log pass over the folder it lies in.
+    """
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{seq:020d}")
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(file.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":
+            none = spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0)
+            jvm.java.nio.file.Files.createFile(jvm.java.io.File(file.toUri().getPath()).toPath(), none)
+        else:
+            fs.create(file, False).close()
+    except Py4JJavaError:
+        if fs.exists(file):
+            return False
+        raise
+    return True
+
+
+def release(spark: SparkSession, path: str, seq: int) -> bool:
+    """Gives up the claim of a client that died before it wrote."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_claims/{seq:020d}")
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(file, False)
+
+
 def replay(spark: SparkSession, path: str, from_seq: int = 0) -> DataFrame:
     """Operations from ``seq`` on; the filter prunes files by their statistics."""
     return spark.read.parquet(path).filter(F.col("seq") >= from_seq)

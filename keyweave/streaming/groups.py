@@ -6,6 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+
+def members_after(commands: DataFrame) -> DataFrame:
+    """group_id, member_id, last_heartbeat, session_timeout_secs after commands(seq, ts, group_id, member_id, op, session_timeout_secs).
+
+    op is join, heartbeat or leave.  A member is there from its last join on unless it left
+    since; a heartbeat of one that is not there says nothing.
+    """
+    who = ["group_id", "member_id"]
+    changes = commands.filter(F.col("op").isin("join", "leave")).groupBy(*who).agg(F.max_by(F.struct("op", "seq", "session_timeout_secs"), "seq").alias("c"))
+    there = changes.filter("c.op = 'join'").select(*who, F.col("c.seq").alias("__since"), F.col("c.session_timeout_secs").alias("session_timeout_secs"))
+    heard = commands.join(there, who).filter((F.col("seq") >= F.col("__since")) & F.col("op").isin("join", "heartbeat"))
+    last = heard.groupBy(*who).agg(F.max("ts").alias("last_heartbeat"))
+    return there.join(last, who).select(*who, "last_heartbeat", "session_timeout_secs")
+
+
+def generations(commands: DataFrame) -> DataFrame:
+    """group_id, generation: how often the group's partitions were dealt anew, once for each rebalance command."""
+    return commands.groupBy("group_id").agg(F.count(F.when(F.col("op") == "rebalance", 1)).alias("generation"))
+
+
+def rebalanced(members: DataFrame, now: Column, partitions: int, strategy: str = "round_robin") -> DataFrame:
+    """The assignment once dead members are dropped, by ``round_robin`` or ``range``."""
+    assign = {"round_robin": assign_round_robin, "range": assign_range}[strategy]
+    return assign(alive(members, now).select("group_id", "member_id"), partitions)
+
+
+def assignment(assigned: DataFrame, group_id: str, member_id: str) -> DataFrame:
+    return assigned.filter((F.col("group_id") == group_id) & (F.col("member_id") == member_id)).select("partition_id")
+
+
+def group_ids(members: DataFrame) -> DataFrame:
+    return members.select("group_id").distinct()
+
+
 def alive(members: DataFrame, now: Column) -> DataFrame:
     """Members heard of within their session's timeout."""
     return members.filter(F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col("last_heartbeat").cast("timestamp")) < F.col("session_timeout_secs"))

@@ -7,13 +7,16 @@ query's checkpoint, one entry for each key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.topics import is_wildcard, topic_regex
 from .queues import RESULTS, Limits, Queue
 
 
@@ -40,21 +43,43 @@ def assign_offsets(events: DataFrame, by: list[str], key: str = "room") -> DataF
     return events.groupBy(key).applyInPandasWithState(run, schema, "following long", "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_queues(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Outcomes of queue operations as they arrive; a queue's messages are its state."""
-    import pickle
+class _QueueFold(StatefulProcessor):
+    """A queue's messages as entries of their own: a batch rewrites only those it touched."""
+
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        # one entry a message, and one for what belongs to none
+        self.entries = handle.getMapState("entries", "id string", "entry binary")
 
-    def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        queue = pickle.loads(state.get[0]) if state.exists else Queue(limits)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        before = {k[0]: bytes(v[0]) for k, v in self.entries.iterator()}
+        queue = Queue.unpacked(before, self.limits)
         out = []
-        rows = pd.concat(list(parts), ignore_index=True).sort_values("seq", kind="stable")
-        for row in rows.to_dict("records"):
-            message, outcome, retries = queue.apply(row)
-            out.append((key[0], row["seq"], row["op"], message, outcome, retries))
-        state.update((pickle.dumps(queue),))
-        yield pd.DataFrame(out, columns=[part.split()[0] for part in RESULTS.split(", ")]).astype({"retry_count": "Int32"})
+        for part in rows:  # a batch of a key's rows comes in order of seq where its files do
+            for row in part.sort_values("seq", kind="stable").astype(object).where(part.notna(), None).to_dict("records"):
+                message, outcome, retries = queue.apply(row)
+                out.append((key[0], row["seq"], row["op"], message, outcome, retries))
+        after = queue.packed()
+        for name in before.keys() - after.keys():
+            self.entries.removeKey((name,))
+        for name, entry in after.items():
+            if before.get(name) != entry:
+                self.entries.updateValue((name,), (entry,))
+        columns = [part.split()[0] for part in RESULTS.split(", ")]
+        yield pd.DataFrame(out, columns=columns).astype({"retry_count": "Int32"})
+
+    def close(self) -> None:
+        pass
 
-    return operations.groupBy("queue").applyInPandasWithState(run, RESULTS, "queue binary", "append", GroupStateTimeout.NoTimeout)
+
+def fold_queues(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Outcomes of queue operations as they arrive; each message is an entry of the queue's state.
+
+    Needs the RocksDB state store, ``spark.sql.streaming.stateStore.providerClass``.
+    """
+    return operations.groupBy("queue").transformWithStateInPandas(_QueueFold(limits), RESULTS, "append", "none")
 
 
 def counters(deltas: DataFrame) -> DataFrame:
@@ -67,6 +92,51 @@ def windowed_counts(events: DataFrame, width: str, late: str, key: str, ts: str
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("started"), key, "n")
 
 
+def observe_events(events: DataFrame, room: str, event: str | None = None, from_offset: int = 0) -> DataFrame:
+    """A room's events from an offset on as they arrive, of one type if it is named."""
+    found = events.filter((F.col("room") == room) & (F.col("offset") >= from_offset))
+    return found.filter(F.col("event") == event) if event is not None else found
+
+
+def observe_topics(messages: DataFrame, patterns: list[str], topic: str = "topic") -> DataFrame:
+    """Messages of the topics that any of a subscriber's patterns matches, as they arrive."""
+    found = F.lit(False)
+    for pattern in patterns:
+        found = found | (F.col(topic).rlike(topic_regex(pattern)) if is_wildcard(pattern) else F.col(topic) == pattern)
+    return messages.filter(found)
+
+
+def fan_out(df: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
+    """One stream for several sinks: each batch is computed once and handed to all, in order.
+
+    A sink that fails fails the batch; the query starts again from its checkpoint with the
+    same batch, so a sink should write a batch under its number.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            for sink in sinks:
+                sink(kept, number)
+        finally:
+            kept.unpersist()
+
+    query = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def retried(run: Callable[[], None], times: int) -> int:
+    """Runs a job again, from its checkpoint, until it ends without an error; how often it failed."""
+    for failed in range(times + 1):
+        try:
+            run()
+            return failed
+        except StreamingQueryException:
+            if failed == times:
+                raise
+    return times
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Reads what there is, writes it exactly once to a folder of Parquet files, and stops."""
     query = df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,51 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.topics import is_wildcard, topic_regex
+from ..operators.paging import first_ranks
 
-#: Patterns that a broadcast may hold; a longer list is joined in blocks of this many.
-PATTERNS = 10_000
 #: Longer values are not carried in a change feed.
 INLINE = 64 * 1024
 
 
-def route(messages: DataFrame, exact: DataFrame, patterns: list[tuple[str, str]], topic: str = "topic") -> DataFrame:
-    """Messages with the subscribers they reach, each once.
+ANCHORED = "subscriber_id string, regex string, level int, literal string"
 
-    ``exact`` (subscriber_id, topic) joins by equality.  Wildcard subscriptions are a
-    list of (subscriber_id, pattern), compiled once: their regular expressions are
-    literals that run where the message is, so nothing is shuffled or broadcast.
-    Messages need a column ``id``.
-    """
-    direct = messages.join(exact.withColumnRenamed("topic", topic), topic)
-    wild: dict[str, list[str]] = {}
-    for subscriber, pattern in patterns:
-        wild.setdefault(pattern, []).append(subscriber)
-    hits = [F.when(F.col(topic).rlike(topic_regex(p)), F.array(*[F.lit(s) for s in sorted(set(who))])) for p, who in sorted(wild.items())]
-    out = direct.select(*messages.columns, "subscriber_id")
-    if hits:
-        reached = F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))
-        fanned = messages.select(*messages.columns, F.explode(reached).alias("subscriber_id"))
-        out = out.unionByName(fanned)
-    return out.dropDuplicates(["id", "subscriber_id"])
+
+def _anchored(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each wildcard pattern's regular expression, and the first of its levels that is plain text."""
+    for part in parts:
+        rows = []
+        for subscriber, pattern in zip(part["subscriber_id"], part["pattern"]):
+            plain = next(((i, x) for i, x in enumerate(pattern.split(".")) if "*" not in x and x != "#"), (-1, ""))
+            rows.append((subscriber, topic_regex(pattern), *plain))
+        yield pd.DataFrame(rows, columns=["subscriber_id", "regex", "level", "literal"])
 
 
 def route_table(messages: DataFrame, subscriptions: DataFrame, topic: str = "topic") -> DataFrame:
-    """The same from subscriptions(subscriber_id, pattern) as a table.
+    """Messages with the subscribers they reach, each once, by subscriptions(subscriber_id, pattern).
+
+    Exact topics hash-join.  A wildcard is filed under its first level of plain text and
+    that level's place, a message looks under each of its own levels, and only patterns
+    found there run their regular expression; so any number of them is a join by
+    equality.  Patterns of wildcards alone are found by every message.  Messages need a
+    column ``id``.
+    """
+    wildcard = F.col("pattern").contains("*") | F.col("pattern").contains("#")
+    exact = subscriptions.filter(~wildcard).select("subscriber_id", F.col("pattern").alias(topic)).distinct()
+    direct = messages.join(exact, topic).select(*messages.columns, "subscriber_id")
+    wild = subscriptions.filter(wildcard).select("subscriber_id", "pattern").distinct().mapInPandas(_anchored, ANCHORED)
+    levels = F.transform(F.split(topic, r"\."), lambda x, i: F.struct(i.alias("level"), x.alias("literal")))
+    anywhere = F.array(F.struct(F.lit(-1).alias("level"), F.lit("").alias("literal")))
+    looking = messages.select("*", F.inline(F.concat(anywhere, levels)))
+    reached = looking.join(wild, ["level", "literal"]).filter(F.rlike(topic, F.col("regex")))
+    return direct.unionByName(reached.select(*messages.columns, "subscriber_id")).dropDuplicates(["id", "subscriber_id"])
+
 
-    Exact topics hash-join.  Wildcards come to the driver only as far as PATTERNS; more
-    than that raises, and belong in calls of ``route`` with a block of them each.
+def route(messages: DataFrame, exact: DataFrame, patterns: list[tuple[str, str]], topic: str = "topic") -> DataFrame:
+    """The same by exact(subscriber_id, topic) and a list of (subscriber_id, pattern)."""
+    for _, pattern in patterns:
+        topic_regex(pattern)
+    given = messages.sparkSession.createDataFrame(list(patterns), "subscriber_id string, pattern string")
+    return route_table(messages, exact.select("subscriber_id", F.col("topic").alias("pattern")).unionByName(given), topic)
+
+
+def delivered(routed: DataFrame, connected: DataFrame, buffer: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """What reaches connected(subscriber_id), and the subscribers whose buffer ran over.
+
+    A subscriber that reads nothing holds ``buffer`` messages; the next one disconnects it
+    and is lost with all later ones.
     """
+    here = routed.join(connected.select("subscriber_id").distinct(), "subscriber_id")
+    placed = first_ranks(here, [F.col("id")], buffer, "place", "subscriber_id")
+    over = here.groupBy("subscriber_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > buffer)
+    return placed, over.select("subscriber_id", (F.col("n") - buffer).alias("lost"))
+
+
+def stats(subscriptions: DataFrame, routed: DataFrame) -> DataFrame:
+    """topics, subscribers, wildcards, deliveries, messages that reached anyone."""
     wildcard = F.col("pattern").contains("*") | F.col("pattern").contains("#")
-    rows = subscriptions.filter(wildcard).select("subscriber_id", "pattern").limit(PATTERNS + 1).collect()
-    if len(rows) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} wildcard subscriptions: route them in blocks")
-    exact = subscriptions.filter(~wildcard).select("subscriber_id", F.col("pattern").alias("topic")).distinct()
-    return route(messages, exact, [(r["subscriber_id"], r["pattern"]) for r in rows], topic)
+    one = subscriptions.agg(
+        F.countDistinct(F.when(~wildcard, F.col("pattern"))).alias("topics"),
+        F.countDistinct("subscriber_id").alias("subscribers"),
+        F.countDistinct(F.when(wildcard, F.struct("subscriber_id", "pattern"))).alias("wildcards"),
+    )
+    two = routed.agg(F.count(F.lit(1)).alias("deliveries"), F.countDistinct("id").alias("messages"))
+    return one.join(two)  # one row each
 
 
 def subscribe(subscriptions: DataFrame, subscriber: str, patterns: list[str]) -> DataFrame:

@@ -6,13 +6,13 @@ by one task; queues run beside each other, and a stream folds them incrementally
 
 from __future__ import annotations
 
+import pickle
 from bisect import insort
 from collections import Counter, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 from heapq import heappop, heappush
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +40,8 @@ class Message:
     priority: int
     max_retries: int
     retries: int = 0
+    #: Where it stands among the ready ones of its run: counted up as they come.
+    place: int = 0
 
 
 @dataclass
@@ -53,6 +55,7 @@ class Ready:
     #: The runs' names, ascending: the front of the queue is the last one.
     lows: list[int] = field(default_factory=list)
     size: int = 0
+    came: int = 0
 
     def __len__(self) -> int:
         return self.size
@@ -67,15 +70,19 @@ class Ready:
             insort(self.lows, low)
         self.runs[low].append(message)
 
+    def _come(self, message: Message, low: int) -> None:
+        message.place = self.came
+        self.came += 1
+        self.size += 1
+        self._put(message, low)
+
     def insert(self, message: Message) -> None:
         """Before the first of a lower priority."""
-        self._put(message, message.priority)
-        self.size += 1
+        self._come(message, message.priority)
 
     def append(self, message: Message) -> None:
         """Behind all, whatever its priority."""
-        self._put(message, min(self.lows[0], message.priority) if self.lows else message.priority)
-        self.size += 1
+        self._come(message, min(self.lows[0], message.priority) if self.lows else message.priority)
 
     def pop(self) -> Message:
         low = self.lows[-1]
@@ -104,6 +111,9 @@ class Queue:
     #: A heap of (deadline, message) of all deliveries, and how many messages each consumer holds.
     deadlines: list[tuple[int, str]] = field(default_factory=list)
     holds: Counter[str] = field(default_factory=Counter)
+    #: When each message in flight was delivered, counted over the queue's life, for its entry.
+    since: dict[str, int] = field(default_factory=dict)
+    delivered: int = 0
 
     def publish(self, message: Message) -> str:
         if len(self.ready) >= self.limits.max_depth:
@@ -117,6 +127,7 @@ class Queue:
         if not held:
             return None
         self.holds[held[1]] -= 1
+        self.since.pop(message_id, None)
         return held[0]
 
     def consume(self, consumer: str, now: int) -> Message | None:
@@ -127,6 +138,8 @@ class Queue:
         if message.id in self.pending:  # published twice: the later delivery counts
             self.holds[self.pending[message.id][1]] -= 1
         self.pending[message.id] = (message, consumer, deadline)
+        self.delivered += 1
+        self.since[message.id] = self.delivered
         self.holds[consumer] += 1
         heappush(self.deadlines, (deadline, message.id))
         return message
@@ -169,8 +182,8 @@ class Queue:
         op, now = row["op"], int(row["now"])
         self.expire(now)
         if op == "publish":
-            given = row["priority"], row["max_retries"]
-            priority, retries = (default if pd.isna(x) else int(x) for x, default in zip(given, (self.limits.default_priority, self.limits.default_max_retries)))
+            defaults = self.limits.default_priority, self.limits.default_max_retries
+            priority, retries = (default if x is None or x != x else int(x) for x, default in zip((row["priority"], row["max_retries"]), defaults))
             return row["id"], self.publish(Message(row["id"], row["payload"], priority, retries)), 0
         if op == "consume":
             message = self.consume(row["consumer_id"], now)
@@ -184,12 +197,39 @@ class Queue:
         if op == "create":  # a queue that is there stays as it is
             return None, "created", None
         if op == "delete":
-            self.ready, self.pending, self.dead, self.deadlines, self.holds = Ready(), {}, [], [], Counter()
+            self.ready, self.pending, self.dead, self.deadlines, self.holds, self.since = Ready(), {}, [], [], Counter(), {}
             return None, "deleted", None
         if op == "sweep":
             return None, "swept", None
         return row["id"], "unknown operation", None
 
+    def packed(self) -> dict[str, bytes]:
+        """The queue as entries, one a message, named by where it is: in a run of the ready, in flight, or dead."""
+        out = {f"ready {low} {m.place}": pickle.dumps(astuple(m)) for low, run in self.ready.runs.items() for m in run}
+        out |= {f"pending {self.since[i]} 0": pickle.dumps((astuple(m), who, deadline)) for i, (m, who, deadline) in self.pending.items()}
+        return out | {f"dead {i} 0": pickle.dumps(astuple(m)) for i, m in enumerate(self.dead)}
+
+    @classmethod
+    def unpacked(cls, entries: dict[str, bytes], limits: Limits) -> Queue:
+        queue = cls(limits)
+        named = sorted((kind, int(one), int(two), entry) for (kind, one, two), entry in ((n.split(" "), e) for n, e in entries.items()))
+        for kind, one, two, entry in named:  # in the order of their places
+            value = pickle.loads(entry)
+            if kind == "pending":
+                message, who, deadline = Message(*value[0]), value[1], value[2]
+                queue.pending[message.id] = (message, who, deadline)
+                queue.since[message.id] = queue.delivered = one
+                queue.holds[who] += 1
+                heappush(queue.deadlines, (deadline, message.id))
+            elif kind == "ready":
+                queue.ready.runs.setdefault(one, deque()).append(Message(*value))
+                queue.ready.size += 1
+                queue.ready.came = max(queue.ready.came, two + 1)
+            else:
+                queue.dead.append(Message(*value))
+        queue.ready.lows = sorted(queue.ready.runs)
+        return queue
+
     def rows(self, name: str) -> Iterator[tuple]:
         for i, m in enumerate(self.ready):
             yield name, m.id, "ready", i, m.priority, m.retries, None, None
@@ -205,7 +245,7 @@ def outcomes(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def step(queue: Queue, row: dict) -> list[tuple]:
         return [(row["queue"], row["seq"], row["op"], *queue.apply(row))]
 
-    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: [], RESULTS, {"retry_count": "Int32"})
+    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: [], RESULTS)
 
 
 def state_after(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -215,8 +255,14 @@ def state_after(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
         queue.apply(row)
         return []
 
-    types = {"place": "Int32", "priority": "Int32", "retry_count": "Int32", "ack_deadline": "Int64"}
-    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: list(queue.rows(name)), STATE, types)
+    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: list(queue.rows(name)), STATE)
+
+
+def names(operations: DataFrame) -> DataFrame:
+    """The queues there are once all creations and deletions are done; publishing to one makes it."""
+    makes = F.col("op").isin("create", "publish")
+    last = operations.filter(makes | (F.col("op") == "delete")).groupBy("queue").agg(F.max_by("op", "seq").alias("op"))
+    return last.filter(F.col("op") != "delete").select("queue")
 
 
 def delivery_order(messages: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..plans.staging import placed, running_within
 
 
 class OffsetOutOfRange(LookupError):
@@ -17,8 +18,11 @@ def _seconds(ts: Column | str) -> Column:
 
 
 def with_offsets(events: DataFrame, key: list[str], by: list[str]) -> DataFrame:
-    """Dense offsets from 0 in each room (or topic and partition), in a total order."""
-    return events.withColumn("offset", (F.row_number().over(W.partitionBy(*key).orderBy(*by)) - 1).cast("long"))
+    """Dense offsets from 0 in each room (or topic and partition), in a total order.
+
+    A room may hold any share of all events: they are dealt out by range, not by room.
+    """
+    return placed(events, key, [F.col(b) for b in by], "offset")
 
 
 def consume(events: DataFrame, room: str, from_offset: int, limit: int, to_offset: int | None = None) -> DataFrame:
@@ -88,15 +92,14 @@ def partition_by_md5(key: Column, partitions: int) -> Column:
 
 def to_topic(events: DataFrame, partitions: int, by: list[str], partition: Column | None = None) -> DataFrame:
     """partition_id and offset for keyed events."""
-    placed = events.withColumn("partition_id", partition_by_crc32(F.col("key"), partitions) if partition is None else partition)
-    return with_offsets(placed, ["topic", "partition_id"], by)
+    dealt = events.withColumn("partition_id", partition_by_crc32(F.col("key"), partitions) if partition is None else partition)
+    return with_offsets(dealt, ["topic", "partition_id"], by)
 
 
 def round_robin(events: DataFrame, partitions: int, by: list[str]) -> DataFrame:
     """Events without a key go to the shortest partition, the first of equals: in turn, if all are keyless."""
-    place = F.row_number().over(W.partitionBy("topic").orderBy(*by)) - 1
-    placed = events.withColumn("__place", place).withColumn("partition_id", F.pmod("__place", F.lit(partitions)).cast("int"))
-    return placed.withColumn("offset", F.floor(F.col("__place") / partitions)).drop("__place")
+    dealt = placed(events, ["topic"], [F.col(b) for b in by], "__place").withColumn("partition_id", F.pmod("__place", F.lit(partitions)).cast("int"))
+    return dealt.withColumn("offset", F.floor(F.col("__place") / partitions)).drop("__place")
 
 
 def consume_partition(topic: DataFrame, name: str, partition_id: int, from_offset: int, limit: int) -> DataFrame:
@@ -123,16 +126,22 @@ def event_size(df: DataFrame) -> Column:
 
 def retain(topic: DataFrame, *, now: Column | None = None, retention_secs: int | None = None, max_bytes: int | None = None, max_messages: int | None = None) -> DataFrame:
     """Retention by time, then size, then count of each partition; none given keeps all."""
-    part = ["topic", "partition_id"]
     if retention_secs is not None:
         topic = topic.filter(_seconds("ts") > _seconds(now) - retention_secs)
+    sums = {}
+    if max_bytes is not None:
+        sums["__bytes"] = F.col("size_bytes")
+    if max_messages is not None:
+        sums["__n"] = F.lit(1).cast("long")
+    if not sums:
+        return topic
+    # both keep the newest, so what is newer than an event decides on both at once
+    newer = running_within(topic, ["topic", "partition_id"], [F.col("offset").desc()], sums)
     if max_bytes is not None:
-        newest = W.partitionBy(*part).orderBy(F.col("offset").desc())
-        topic = topic.withColumn("__upto", F.sum("size_bytes").over(newest.rowsBetween(W.unboundedPreceding, 0))).filter(F.col("__upto") <= max_bytes).drop("__upto")
+        newer = newer.filter(F.col("__bytes") <= max_bytes)
     if max_messages is not None:
-        newest = W.partitionBy(*part).orderBy(F.col("offset").desc())
-        topic = topic.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= max_messages).drop("__n")
-    return topic
+        newer = newer.filter(F.col("__n") <= max_messages)
+    return newer.drop(*sums)
 
 
 def topic_stats(topic: DataFrame) -> DataFrame:

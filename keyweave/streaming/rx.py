@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def map_items(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each item as the given columns; of a stream as of a table."""
+    return df.select(*[c.alias(n) for n, c in columns.items()])
+
+
+def filter_items(df: DataFrame, condition: Column) -> DataFrame:
+    return df.filter(condition)
+
+
 def take(df: DataFrame, n: int, by: list[str]) -> DataFrame:
     return df.orderBy(*by).limit(n)
 

@@ -1,5 +1,6 @@
 """Pure functions: patterns, ranges, bits, slots, coordinates."""
 
+import random
 import re
 
 import pytest
@@ -68,6 +69,12 @@ def test_ranges_in_columns(spark):
     assert [r[0] for r in rows.filter(within(F.col("id"), F.col("n"), 1, 99)).collect()] == [1, 2, 3, 4]
 
 
+def test_crc16_by_brute_force(spark):
+    words = [b"", b"123456789", "é日本".encode(), bytes(range(256)), b"a" * 1000]
+    got = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w binary").select("i", slots.crc16(F.col("w")).alias("c")).collect()
+    assert {r.i: r.c for r in got} == {i: slots.crc16_of(w) for i, w in enumerate(words)}
+
+
 def test_crc16_and_tags(spark):
     assert slots.crc16_of(b"123456789") == 0x31C3
     rows = spark.createDataFrame([("{user}:a",), ("user",), ("{}{x}",), ("no{close",)], "key string")
@@ -78,17 +85,42 @@ def test_crc16_and_tags(spark):
     assert [r[0] for r in owners] == [0, 0, 1, 2]
 
 
-@given(st.binary(max_size=6), st.integers(0, 40), st.integers(1, 63), st.integers(-(1 << 62), (1 << 62) - 1))
-def test_fields_hold_what_was_put(data, offset, width, value):
-    put = bits.field_put(data, offset, width, value)
-    assert bits.field_of(put, offset, width, False) == value & ((1 << width) - 1)
-
-
-def test_field_overflow():
-    assert bits.field_added(127, 1, 8, True, "WRAP") == -128
-    assert bits.field_added(255, 2, 8, False, "WRAP") == 1
-    assert bits.field_added(100, 100, 8, True, "SAT") == 127
-    assert bits.field_added(100, 100, 8, True, "FAIL") is None
+def field_of(data, offset, width, signed):
+    """A field of a whole number, least significant bit first; 0 if it passes the end."""
+    if (offset + width - 1) // 8 >= len(data):
+        return 0
+    value = int.from_bytes(data, "little") >> offset & ((1 << width) - 1)
+    return value - (1 << width) if signed and value >> (width - 1) else value
+
+
+def field_put(data, offset, width, value):
+    size = max(len(data), (offset + width - 1) // 8 + 1)
+    mask = (1 << width) - 1
+    return (int.from_bytes(data, "little") & ~(mask << offset) | (value & mask) << offset).to_bytes(size, "little")
+
+
+def test_fields_by_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, bytes(r.randrange(256) for _ in range(r.randrange(0, 14))), r.randrange(-(1 << 62), 1 << 62)) for i in range(40)] + [(99, None, 5)]
+    df = spark.createDataFrame(rows, "i int, v binary, n long").repartition(1).cache()
+    for offset, width, signed in [(0, 8, False), (4, 12, True), (3, 1, False), (7, 64, True), (1, 63, False), (13, 33, True), (40, 5, False), (0, 64, True), (6, 63, True)]:
+        for mode, more in (("WRAP", 1000), ("SAT", -7), ("FAIL", 3), ("SAT", 1 << 62)):
+            got = df.select(
+                "i",
+                bits.field_get(F.col("v"), offset, width, signed).alias("got"),
+                bits.field_set(F.col("v"), offset, width, F.col("n")).alias("put"),
+                bits.field_incrby(F.col("v"), offset, width, signed, more, mode).alias("a"),
+            ).collect()
+            low, high = (-(1 << (width - 1)), (1 << (width - 1)) - 1) if signed else (0, (1 << width) - 1)
+            for x, (_, v, n) in zip(sorted(got, key=lambda x: x.i), rows):
+                data = v or b""
+                old = field_of(data, offset, width, signed)
+                assert x.got == old and bytes(x.put) == field_put(data, offset, width, n), (offset, width, signed)
+                total = old + more
+                if not low <= total <= high:
+                    total = (total - low) % (1 << width) + low if mode == "WRAP" else min(max(total, low), high) if mode == "SAT" else None
+                assert x.a.result == total
+                assert bytes(x.a.value) == (data if total is None else field_put(data, offset, width, total))
     with pytest.raises(ValueError):
         bits.check_width(64, False)
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from keyweave.plans.queries import QUERIES
+from keyweave.plans.registry import QUERIES
 from keyweave.streaming.queues import Limits, Message, Queue, Ready
 
 KEYS = [k for k in range(1, 240) if k % 7]
