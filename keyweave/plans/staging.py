@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 from urllib.request import url2pathname
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _OWN: dict[str, str] = {}
+#: Tables staged inside the open ``scratch`` blocks.
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +35,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and reads it back: its lineage ends there.
+
+    A lost executor then costs the tasks it was running, not the steps before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_staged(*dfs: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in dfs:
+        for file in df.inputFiles()[:1]:
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at its end: what is made of them must be written by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCRATCH.pop():
+            _delete(spark, path)
+
+
+def written(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The DataFrame that ``make()`` returns, staged; the tables it staged on its way are gone then."""
+    with scratch():
+        df = make()
+        spark, schema = df.sparkSession, df.schema
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
+    return spark.read.schema(schema).parquet(path)
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -78,3 +123,9 @@ def placed(df: DataFrame, key: list[str], by: list[Column], name: str) -> DataFr
     """A 0-based place within each key in a total order; ``by`` should tell rows apart."""
     counted = running_within(df, key, by, {name: F.lit(1).cast("long")})
     return counted.withColumn(name, F.col(name) - 1)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers rows from 0 in a total order."""
+    counted = running(df, order, {name: F.lit(1).cast("long")})
+    return counted.withColumn(name, F.col(name) - 1)
