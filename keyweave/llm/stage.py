@@ -1,90 +1,18 @@
-"""Tables written between the steps of an operator, in the folder all executors share."""
+"""What the operators share: words, rows that carry any columns, and the tables between their steps."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from urllib.parse import urlparse
-from urllib.request import url2pathname
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..plans.staging import drop_staged, numbered, running, scratch, shared_dir, staged, written
+
+__all__ = ["NOT_SPACE", "SPACE", "as_row", "drop_staged", "numbered", "running", "scratch", "shared_dir", "staged", "unpacked", "word_count", "word_list", "written"]
 
 #: White space that separates words: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-_OWN: dict[str, str] = {}
-#: Tables staged inside the open ``scratch`` blocks.
-_SCRATCH: list[list[tuple[SparkSession, str]]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset a folder in the warehouse, which executors share."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = sc.applicationId
-    if app not in _OWN:
-        _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_stages/{app}"
-        own = urlparse(_OWN[app])
-        if own.scheme in ("", "file"):  # no other session reads it: it goes with this one
-            atexit.register(shutil.rmtree, url2pathname(own.path), ignore_errors=True)
-    return _OWN[app]
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: its lineage ends there.
-
-    A lost executor then costs the tasks it was running, not the steps before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def drop_staged(*dfs: DataFrame) -> None:
-    """Deletes staged tables that nothing will read again."""
-    for df in dfs:
-        for file in df.inputFiles()[:1]:
-            _delete(df.sparkSession, file.rsplit("/", 1)[0])
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables staged inside are deleted at its end: what is made of them must be written by then."""
-    _SCRATCH.append([])
-    try:
-        yield
-    finally:
-        for spark, path in _SCRATCH.pop():
-            _delete(spark, path)
-
-
-def written(make, label: str) -> DataFrame:
-    """The DataFrame that ``make()`` returns, staged; the tables it staged on its way are gone then."""
-    with scratch():
-        df = make()
-        spark, schema = df.sparkSession, df.schema
-        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-    if _SCRATCH:
-        _SCRATCH[-1].append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
 
 def as_row(docs: DataFrame) -> Column:
     """All columns of ``docs`` as one struct: columns added beside it can't clash with theirs."""
@@ -104,28 +32,3 @@ def word_list(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(NOT_SPACE + "+")).cast("long"), F.lit(0).cast("long"))
-
-
-def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds running sums of columns, this row's included, in a total order, and sorts no whole table in one task.
-
-    Rows are dealt out by range, the partition each fell into is written with them,
-    and only one row for each partition meets in a single task.
-    """
-    named = {f"__of_{n}": c for n, c in sums.items()}
-    dealt = df.withColumns(named).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts = staged(dealt, "running")
-    totals = parts.groupBy("__part").agg(*[F.sum(c).alias(c) for c in named])
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(F.col("__part").alias("__p"), *[F.coalesce(F.sum(f"__of_{n}").over(before), F.lit(0)).alias(f"__start_{n}") for n in sums])
-    inside = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    summed = parts.withColumns({f"__in_{n}": F.sum(f"__of_{n}").over(inside) for n in sums})
-    joined = summed.join(starts, F.col("__part") == F.col("__p"))
-    out = joined.withColumns({n: F.col(f"__in_{n}") + F.col(f"__start_{n}") for n in sums})
-    return out.drop("__part", "__p", *[f"__{k}_{n}" for n in sums for k in ("of", "start", "in")])
-
-
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Numbers rows from 0 in a total order without sorting them in one task."""
-    counted = running(df, order, {name: F.lit(1).cast("long")})
-    return counted.withColumn(name, F.col(name) - 1)
