@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.llm import bpe, langid, minhash, mixing, quality
 from keyweave.llm.queries import tokenizer
-from keyweave.llm.stage import staged
+from keyweave.llm.stage import drop_staged, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages' result; what a stage staged on its way, and what it was given, is gone once it is written."""
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "stage")
+        kept = written(lambda: stage(spark, docs, sf_dir), "stage")
+        if docs is not given:
+            drop_staged(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
