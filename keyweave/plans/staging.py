@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from urllib.parse import urlparse
 from urllib.request import url2pathname
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -19,18 +21,33 @@ _OWN: dict[str, str] = {}
 _SCRATCH: list[list[tuple[SparkSession, str]]] = []
 
 
+def _made(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+    except Py4JJavaError:
+        return False
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset a folder in the warehouse, which executors share."""
+    """The session's ``spark.checkpoint.dir``; where that is unset a folder in the warehouse, which executors share.
+
+    Only a local master, whose driver and executors are one process, may do without a
+    warehouse it can write to.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     app = sc.applicationId
     if app not in _OWN:
-        _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_steps/{app}"
-        own = urlparse(_OWN[app])
-        if own.scheme in ("", "file"):  # no other session reads it: it goes with this one
-            atexit.register(shutil.rmtree, url2pathname(own.path), ignore_errors=True)
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_steps/{app}"
+        if not _made(spark, own) and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+            own = "file:" + tempfile.mkdtemp(prefix="steps-")
+        _OWN[app] = own
+        where = urlparse(own)
+        if where.scheme in ("", "file"):  # no other session reads it: it goes with this one
+            atexit.register(shutil.rmtree, url2pathname(where.path), ignore_errors=True)
     return _OWN[app]
 
 
