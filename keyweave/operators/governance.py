@@ -133,8 +133,11 @@ def allowed(requests: DataFrame, rules: DataFrame) -> DataFrame:
     exact = named.filter(~star).withColumn("stem", F.col("rule_resource"))
     open_ended = named.filter(star).withColumn("stem", F.expr("substr(rule_resource, 1, length(rule_resource) - 1)"))
     told = requests.select("id", "user", "resource", "action")
-    # each request meets the rules filed under one of its resource's beginnings, by equality
-    begins = told.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(0), F.length("resource")), lambda n: F.substring(F.col("resource"), F.lit(1), n))))
+    # each request meets the rules filed under one of its resource's beginnings, by equality;
+    # the lengths there are to try are no more than the longest name's characters
+    tried = sorted(r["n"] for r in open_ended.select(F.length("stem").alias("n")).distinct().collect())
+    stems = F.filter(F.array(*[F.lit(n) for n in tried]).cast("array<int>"), lambda n: n <= F.length("resource"))
+    begins = told.withColumn("stem", F.explode(F.transform(stems, lambda n: F.substring(F.col("resource"), F.lit(1), n))))
     met = told.withColumn("stem", F.col("resource")).join(exact, "stem").unionByName(begins.join(open_ended, "stem"))
     fits = met.filter(F.col("rule_user").isin("*") | (F.col("rule_user") == F.col("user"))).filter(F.col("rule_action").isin("*") | (F.col("rule_action") == F.col("action")))
     best = fits.groupBy("id").agg(F.max(F.struct(F.length("rule_resource").alias("n"), (~F.col("allow")).alias("denied"))).alias("b"))

@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import bits
-from ..operators import bitmaps, geosets, hashes, hll, keyspace, lists, sets, strings, zsets
+from ..operators import bitmaps, deadlines, geosets, governance, hashes, hll, keyspace, lists, sets, strings, zsets
 from ..schemas import OPLOG
-from ..streaming import pubsub, queues, rooms
+from ..streaming import catalogue, groups, pubsub, queues, readers, rooms
+from .fold import OPERATIONS
 
 
 def _timed(function: Callable) -> Callable:
@@ -85,8 +86,8 @@ COMMANDS: dict[str, Callable] = {
     **_family("sketch", hll, {"PFCOUNT": "pfcount", "PFMERGE": "pfmerge", "HLLSTATS": "stats"}),
     "PFADD": lambda engine, elements: hll.pfadd(elements),
     **_family("geo", geosets, {n.upper(): n for n in ("geopos", "geohash", "geodist", "georadius", "georadiusbymember")}),
-    **_family("geo", geosets, {"GEOSEARCH": "geosearch_box", "GEOSTATS": "stats"}),
-    "GEOADD": lambda engine, places: geosets.geoadd(places),
+    **_family("geo", geosets, {"GEOSEARCH": "geosearch", "GEOSTATS": "stats"}),
+    "GEOADD": lambda engine, places, **kw: geosets.geoadd_into(engine.relations["geo"], places, **kw) if "geo" in engine.relations else geosets.geoadd(places),
     "TYPE": _stores(keyspace.key_type),
     "KEYEXISTS": _stores(keyspace.exists),
     "RANDOMKEY": _stores(keyspace.random_key),
@@ -107,14 +108,23 @@ COMMANDS: dict[str, Callable] = {
     "UNSUBSCRIBE": _on("subscription", pubsub.unsubscribe),
     "QCONSUME": lambda engine, operations, *args: queues.outcomes(operations, *args),
     "QSTATS": lambda engine, operations, *args: queues.stats(queues.outcomes(operations, *args)),
-    "QLIST": lambda engine, operations: operations.select("queue").distinct(),
+    "QLIST": lambda engine, operations: queues.names(operations),
+    **_family("room", readers, {"XREADGROUP": "deliveries", "XDEL": "without"}),
+    "XACK": lambda engine, delivered, acks: readers.acknowledged(delivered, acks),
+    "XPENDING": lambda engine, delivered, acks: readers.pending(delivered, acks),
+    # what exists is told by the commands that made and dropped it
+    **{name: (lambda engine, commands: catalogue.outcomes(commands)) for name in ("SCREATE", "SGETORCREATE", "SDELETE", "QCREATE", "QDELETE", "TOPICCREATE", "TOPICDELETE", "GROUPCREATE", "GROUPDELETE")},
+    **{name: (lambda engine, commands: groups.members_after(commands)) for name in ("GROUPJOIN", "GROUPLEAVE", "GROUPHEARTBEAT")},
+    "GROUPREBALANCE": lambda engine, members, now, partitions, *args: groups.rebalanced(members, now, partitions, *args),
+    "SETDEL": _on("set", sets.delete),
+    "LISTDEL": _on("list", lists.delete),
+    "KEYTTL": lambda engine, kind, ends: deadlines.ttl(engine.relations[kind], ends, engine.now_ms),
+    "KEYSINSLOT": lambda engine, keys, slot: governance.keys_in_slot(keys, slot),
+    "PSSTATS": lambda engine, routed: pubsub.stats(engine.relations["subscription"], routed),
 }
 
 #: Operations that are written to the log and take effect when it is folded.
-WRITES = (
-    "SET", "DEL", "INCRBY", "APPEND", "GETSET", "EXPIRE", "PERSIST", "ZADD", "ZINCRBY", "ZREM", "HSET", "HDEL", "SADD", "SREM",
-    "LPUSH", "RPUSH", "LPOP", "RPOP",
-)
+WRITES = OPERATIONS
 
 # How a collection's name before the dot changes the command after it.
 FAMILIES = {"hash": "H", "set": "S"}
@@ -124,6 +134,8 @@ SYNONYMS = {
     "set.stats": "SETSTATS", "hash.stats": "HASHSTATS", "sortedset.stats": "ZSETSTATS", "bitmap.stats": "BITMAPSTATS",
     "hyperloglog.stats": "HLLSTATS", "geospatial.stats": "GEOSTATS", "queue.consume": "QCONSUME", "queue.stats": "QSTATS",
     "queue.list": "QLIST", "key.exists": "KEYEXISTS", "memory.usage": "MEMORY", "pubsub.topics": "TOPICS",
+    "pubsub.stats": "PSSTATS", "stream.create": "SCREATE", "stream.delete": "SDELETE", "queue.create": "QCREATE", "queue.delete": "QDELETE",
+    "set.del": "SETDEL", "list.del": "LISTDEL", "key.ttl": "KEYTTL",
 }
 
 

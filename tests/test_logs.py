@@ -242,9 +242,12 @@ def test_commands(spark):
     assert engine.run("TYPE", spark.createDataFrame([("k",), ("x",)], "key string")).count() == 2
     with pytest.raises(KeyError):
         engine.run("NOPE")
+    assert set(fold.OPERATIONS) == set(commands.WRITES)
+    g = engine.run("GEOADD", spark.createDataFrame([("k", b"a", 1.0, 1.0)], "key string, member binary, lat double, lon double"))
+    assert commands.Engine({"geo": g}).run("geospatial.geosearch", "k", member=b"a", radius=1.0).count() == 1
     assert commands.command_name("hash.getall") == "HGETALL" and commands.command_name("set.size") == "SCARD" and commands.command_name("kv.get") == "GET"
     assert engine.run("ZINTERSTORE", "both", ["k"]).filter("key = 'both'").count() == 2
     assert bytes(engine.run("APPEND", b"!").first().value) == b"v!"
     assert engine.write(spark, 4, "kv.set", "s", value=b"w").first().op == "SET"
-    for name in ("hash.get", "list.lpush", "set.add", "sortedset.zadd", "bitmap.bitop", "hyperloglog.pfcount", "geospatial.geosearch", "stream.consume", "queue.stats", "key.rename", "pubsub.subscribe"):
+    for name in ("hash.get", "list.lpush", "set.add", "sortedset.zadd", "bitmap.bitop", "hyperloglog.pfcount", "geospatial.geosearch", "stream.consume", "queue.stats", "key.rename", "pubsub.subscribe", "stream.create", "pubsub.stats", "set.del", "queue.delete"):
         assert commands.command_name(name) in commands.COMMANDS, name
