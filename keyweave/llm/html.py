@@ -12,8 +12,8 @@ are marked as the parser passes them, by their element or by the names of their
 id and role.  A whole name marks by itself.  Where a name only begins or ends with such
 a word the mark is void if the part holds an article or a main heading, or all but
 nothing of the text stands elsewhere; where the word is ambiguous, a block of an
-article goes only if its links or its ratio speak against it too.  Headings bear no
-marks.  Every step is linear in the page, however deep its tags are nested.
+article goes only if its links or its ratio speak against it too.  A form around the
+article is none.  Headings bear no marks.  Every step is linear in the page, however deep its tags are nested.
 """
 
 from __future__ import annotations
@@ -64,8 +64,8 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden").search
 _PARTS = re.compile(r"[a-z0-9]+").findall
 _NEVER_MARKED = frozenset(("html", "body", "main"))
 
-#: How a mark is judged: by itself, by what its part holds, by the ratio and links of its text.
-CERTAIN, COMPOUND, DOUBTFUL = 0, 1, 2
+#: How a mark is judged: by itself, by what its part holds, by the ratio and links of its text, by whether the article is in it.
+CERTAIN, COMPOUND, DOUBTFUL, AROUND = 0, 1, 2, 3
 
 
 @dataclass
@@ -153,7 +153,7 @@ class _Lines(HTMLParser):
         if own_header:
             kind = CERTAIN  # an article's own header: its headings stay
         elif tag in ASIDE:
-            kind = CERTAIN
+            kind = AROUND if tag == "form" and not certain else CERTAIN
         elif words and words <= AMBIGUOUS and tag in BLOCK and at.content and MARKS.isdisjoint((attrs.get("role") or "").lower().split()):
             kind = DOUBTFUL
         elif words and certain:
@@ -274,6 +274,8 @@ def cleared(lines: list[Line], marks: list[Mark]) -> list[Line]:
     for mark, (n, links, tags) in zip(marks, sums):
         if mark.kind == COMPOUND:
             void = mark.article or (2 * links <= n and elsewhere * ELSEWHERE <= n - links)
+        elif mark.kind == AROUND:
+            void = mark.article
         else:
             void = mark.kind == DOUBTFUL and 2 * links <= n and max(0, n - links) >= limit * tags
         outer = mark.parent < 0

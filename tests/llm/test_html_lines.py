@@ -56,6 +56,7 @@ def test_scores_by_brute_force():
         f"<div class='header-blog'><h1>{A}</h1></div>",
         f"<body class='comments'><main class='menu'><p>{A}</p></main></body>",
         f"<div class='promo-box'><p>{A}</p></div>",
+        f"<form id='aspnetForm'><div><article><p>{A}</p></article></div></form>",
     ],
 )
 def test_names_that_only_tell_the_layout_mark_nothing(page):
@@ -67,6 +68,7 @@ def test_names_that_only_tell_the_layout_mark_nothing(page):
     [
         f"<div class='comment-list'><article class='comment'><p>{B}</p></article></div>",
         f"<div class='cookie-banner'><p>{B}</p></div>",
+        f"<form><p>{B}</p><p>{B}</p></form>",
         f"<div id='sidebar-left'><p>{B}</p></div>",
         f"<div class='widget ad-slot'><p>{B}</p></div>",
         "<ul>" + "".join(f"<li><a href=x>Another page {i}</a></li>" for i in range(6)) + "</ul>",
