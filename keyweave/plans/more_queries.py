@@ -9,7 +9,7 @@ from ..operators import bitmaps, deadlines, geosets, governance, hashes, hll, ke
 from ..schemas import OPLOG
 from ..sources import keyspaces as ks
 from ..sources import oplog
-from ..streaming import catalogue, groups, pubsub, queues, readers, rooms, rx
+from ..streaming import catalogue, groups, jobs, pubsub, queues, readers, rooms, rx
 from . import fold, scripts, transactions
 from .queries import _DIST, NOW, query, text
 from .staging import shared_dir
@@ -1013,3 +1013,102 @@ def oplog_recovered(s, d):
     middle = log.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
     state = fold.state_after(log.filter(F.col("seq") <= middle))
     return fold.recover(state, log.filter(F.col("seq") > middle)).select("key", "type", text("value"), "expires_at_ms")
+
+
+# hashes of values ------------------------------------------------------------------------
+
+
+def _crc_table(polynomial: int) -> list[int]:
+    """The table of a reflected CRC, for the SQL side."""
+    out = []
+    for byte in range(256):
+        crc = byte
+        for _ in range(8):
+            crc = crc >> 1 ^ polynomial if crc & 1 else crc >> 1
+        out.append(crc)
+    return out
+
+
+def _crc_sql(text_of: str, polynomial: int, bits_of: int) -> str:
+    whole = (1 << bits_of) - 1
+    table = ", ".join(map(str, _crc_table(polynomial)))
+    letters = f"list_transform(string_split({text_of}, ''), lambda c: CAST(ascii(c) AS UBIGINT))"
+    step = f"lambda crc, b: xor(crc >> 8, list_extract(CAST([{table}] AS UBIGINT[]), CAST(xor(crc, b) & 255 AS INT) + 1))"
+    return f"xor(list_reduce(list_prepend(CAST({whole} AS UBIGINT), {letters}), {step}), CAST({whole} AS UBIGINT))"
+
+
+@query(f"SELECT event_id, CAST({_crc_sql('CAST(user_id AS VARCHAR)', 0xEDB88320, 32)} % 8 AS INT) AS partition_id FROM events")
+def topic_crc32(s, d):
+    """The partition of each event's key, by CRC32."""
+    e = ks.table(s, d, "events")
+    return e.select("event_id", rooms.partition_by_crc32(F.col("user_id").cast("string").cast("binary"), 8).alias("partition_id"))
+
+
+@query(f"SELECT c_custkey AS key, lower(lpad(to_hex({_crc_sql('c_name', 0xC96C5795D7870F42, 64)}), 16, '0')) AS crc FROM customer")
+def value_crc64(s, d):
+    c = ks.table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("key"), checks.crc64(F.col("c_name").cast("binary")).alias("crc"))
+
+
+@query("SELECT c_custkey AS key, sha1(c_name) AS sha FROM customer")
+def value_sha1(s, d):
+    """What scripts are named by."""
+    return ks.table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.sha1(F.col("c_name").cast("binary")).alias("sha"))
+
+
+# streams: run until they have read all there is ------------------------------------------
+
+
+def _streamed(s, d, name):
+    """A table read as a stream of its files."""
+    return s.readStream.schema(ks.table(s, d, name).schema).parquet(f"{d}/{name}*.parquet")
+
+
+def _arrived(s, df):
+    out = _folder(s, "stream")
+    jobs.run_once(df, f"{out}/rows", f"{out}/checkpoint")
+    return s.read.schema(df.schema).parquet(f"{out}/rows")
+
+
+@query('SELECT room, event_id, "offset" FROM room')
+def stream_offsets(s, d):
+    """Offsets given as events arrive; one batch here, so in the order of the log."""
+    e = _streamed(s, d, "events").select(F.col("event_type").alias("room"), "event_id", "ts")
+    return _arrived(s, jobs.assign_offsets(e, ["ts", "event_id"])).select("room", "event_id", "offset")
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_type = 'view' AND event_id >= 10")
+def stream_observed_events(s, d):
+    e = _streamed(s, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("room"), F.col("event_type").alias("event"), F.col("event_id").alias("offset"))
+    return _arrived(s, jobs.observe_events(e, "7", "view", 10)).select("event_id", "event_type")
+
+
+@query("SELECT id, topic FROM message WHERE topic = 'events.view.user1' OR regexp_matches(topic, '^events\\.error(\\..*)?$')")
+def stream_observed_topics(s, d):
+    topic = F.concat(F.lit("events."), "event_type", F.lit(".user"), F.col("user_id").cast("string"))
+    m = _streamed(s, d, "events").select(F.col("event_id").alias("id"), topic.alias("topic"))
+    return _arrived(s, jobs.observe_topics(m, ["events.view.user1", "events.error.#"]))
+
+
+@query("SELECT event_id, 'all' AS sink FROM events UNION ALL SELECT event_id, 'clicks' FROM events WHERE event_type = 'click'")
+def stream_fanned_out(s, d):
+    """One stream, two sinks."""
+    out = _folder(s, "stream")
+    every = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/all/{n}")
+    clicks = lambda batch, n: batch.filter("event_type = 'click'").write.mode("overwrite").parquet(f"{out}/clicks/{n}")
+    jobs.fan_out(_streamed(s, d, "events").select("event_id", "event_type"), [every, clicks], f"{out}/checkpoint")
+    read = lambda sink: s.read.option("recursiveFileLookup", "true").parquet(f"{out}/{sink}").select("event_id", F.lit(sink).alias("sink"))
+    return read("all").unionByName(read("clicks"))
+
+
+@query("SELECT o_orderstatus AS queue, 'order-' || o_orderkey AS id, 'published' AS outcome FROM orders")
+def stream_queue_outcomes(s, d):
+    """Orders published to their queues as they arrive, each message an entry of its queue's state."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    o = _streamed(s, d, "orders")
+    null = F.lit(None)
+    ops = o.select(
+        F.col("o_orderstatus").alias("queue"), F.col("o_orderkey").alias("seq"), F.lit(0).cast("long").alias("now"), F.lit("publish").alias("op"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("id"), null.cast("string").alias("consumer_id"),
+        null.cast("binary").alias("payload"), F.lit(5).alias("priority"), F.lit(1).alias("max_retries"), null.cast("boolean").alias("requeue"),
+    )
+    return _arrived(s, jobs.fold_queues(ops, _limits())).select("queue", "id", "outcome")
