@@ -54,13 +54,38 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(lowered, BREAKS), lambda w: w != "")
 
 
-def _grams(words: str, k: int) -> Column:
-    """An array of (place, hash of the k words there, the first and the last of them); none if there are fewer words."""
+#: Bits of the map that tells which hashes no template has, and of its words.
+MAP_BITS, WORD_BITS = 16, 6
+
+
+def hash_map(hashes: list[int]) -> Column:
+    """A map of MAP_BITS bits as an array of longs: a hash whose bit is not set is none of these."""
+    words = [0] * (1 << (MAP_BITS - WORD_BITS))
+    for h in hashes:
+        bit = h & ((1 << MAP_BITS) - 1)
+        words[bit >> WORD_BITS] |= 1 << (bit & 63)
+    return F.lit([w - (1 << 64) if w >> 63 else w for w in words])
+
+
+def _may_be(gram: Column, known: Column) -> Column:
+    word = F.get(known, F.shiftright(gram, WORD_BITS).bitwiseAND(F.lit((1 << (MAP_BITS - WORD_BITS)) - 1).cast("long")).cast("int"))
+    bit = F.call_function("shiftrightunsigned", word, gram.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return bit.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def _grams(words: str, k: int, known: Column | None = None) -> Column:
+    """An array of (place, hash of the k words there, the first and the last of them); none if there are fewer words.
+
+    With a map of known hashes only grams that may be one of them are given.
+    """
     n = F.size(words)
     word = lambda i: F.get(words, i.cast("int"))
     at = lambda i: F.xxhash64(F.lit(k), *[word(i + j) for j in range(k)])
     places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), at(i).alias("gram"), word(i).alias("first"), word(i + k - 1).alias("last")))
+    hashed = F.transform(places, lambda i: F.struct(i.alias("place"), at(i).alias("gram")))
+    if known is not None:
+        hashed = F.filter(hashed, lambda g: _may_be(g["gram"], known))
+    return F.transform(hashed, lambda g: F.struct(g["place"].alias("place"), g["gram"].alias("gram"), word(g["place"]).alias("first"), word(g["place"] + k - 1).alias("last")))
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES) -> DataFrame:
@@ -83,10 +108,12 @@ def spans(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[st
     words = docs.select(F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"), license_words(F.col("text")).alias("words"))
     # the gram null-safe place -1 marks the document itself, so that one pass over the texts is enough
     itself = F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("first"), F.lit("").alias("last")))
-    grams = F.concat(itself, _grams("words", PHRASE_K), _grams("words", TEXT_K))
+    known = template_grams(docs.sparkSession, phrases, templates)
+    # grams that no template can have don't become rows; the templates' own hashes are as few as their words
+    map_of = hash_map([r["gram"] for r in known.select("gram").collect()])
+    grams = F.concat(itself, _grams("words", PHRASE_K, map_of), _grams("words", TEXT_K, map_of))
     cut = words.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.explode(grams).alias("g"))
     cut = cut.select("doc_id", "text_key", "n_words", F.col("g.place").alias("place"), F.col("g.gram").alias("gram"), F.col("g.first").alias("first_word"), F.col("g.last").alias("last_word"))
-    known = template_grams(docs.sparkSession, phrases, templates)
     mark = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("template"), F.lit(None).cast("string").alias("label"), F.lit(0).alias("k"), F.lit(0).alias("n_grams"), F.lit(-1).alias("tplace"), F.lit(0).cast("long").alias("gram"), F.lit("").alias("first"), F.lit("").alias("last"))
     # the templates are a fixed list of the caller's, not data: a few thousand rows at most
     hits = cut.join(F.broadcast(known.unionByName(mark)), "gram").filter((F.col("place") < 0) == (F.col("tplace") < 0))
