@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import NOT_SPACE, as_row, unpacked, word_count, word_list
+from .stage import SPACE, as_row, unpacked, word_count, word_list
 
 #: Phrases that mark a line as boilerplate.
 BOILERPLATE = (
@@ -52,6 +52,11 @@ BOILERPLATE = (
     "powered by",
     "lorem ipsum",
 )
+#: Every phrase holds one of these: a text without any is searched for no phrase.
+STEMS = (
+    "cookie", "rights reserved", "privacy policy", "terms ", "javascript", "does not support", "click here", "read more", "learn more", "skip to", "back to top",
+    "share on", "us on", "newsletter", "enter your", "log in", "an account", "add to cart", "free ship", "a comment", "powered by", "lorem",
+)
 #: A phrase fails a long line only if there is one for so many of its words.
 WORDS_OF_PHRASE = 8
 #: A line passes if it ends like a sentence, closing quotes and brackets allowed,
@@ -61,29 +66,42 @@ LONG = 15
 #: Pieces between these make a line a menu.
 MENU = r"[|•·›»>][\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: The white space that separates words, as characters.
-BLANK = " \t\n\x0b\x0c\r"
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lost_words")
 #: Share of a document's words that failing lines may hold.
 MAX_LOST = 0.5
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often and in whatever loops it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def line_passes(line: Column, words: Column | None = None) -> Column:
+def _may_hold_phrases(lowered: Column) -> Column:
+    found = F.contains(lowered, F.lit(STEMS[0]))
+    for stem in STEMS[1:]:
+        found = found | F.contains(lowered, F.lit(stem))
+    return found
+
+
+def symbol_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
+
+
+def line_passes(line: Column, words: Column | None = None, symbols: Column | None = None, phrased: Column | None = None) -> Column:
     """Whether a line of ``words`` words stays. A line without words stays: it holds nothing to lose.
 
-    The cheapest tests come first, and the patterns run on the lines that these leave open.
+    The cheapest tests come first, and the patterns run on the lines that these leave
+    open; phrases are only looked for where ``phrased`` says that there may be some.
     """
     words = word_count(line) if words is None else words
-    symbols = (F.length(line) - F.length(_without(line, SYMBOLS))) > words
+    symbols = symbol_count(line) if symbols is None else symbols
     menus = F.regexp_count(line, F.lit(MENU))
     menu = (menus > 0) & (menus * 3 >= words)
     phrases = F.regexp_count(F.lower(line), F.lit("|".join(BOILERPLATE)))
     boilerplate = (phrases > 0) & ((words < LONG) | (phrases * WORDS_OF_PHRASE >= words))
-    return (words == 0) | (((words >= LONG) | line.rlike(SENTENCE_END)) & ~symbols & ~menu & ~boilerplate)
+    if phrased is not None:
+        boilerplate = phrased & boilerplate
+    return (words == 0) | (((words >= LONG) | line.rlike(SENTENCE_END)) & (symbols <= words) & ~menu & ~boilerplate)
 
 
 def _repeated(df: DataFrame) -> DataFrame:
@@ -119,19 +137,20 @@ def judge(docs: DataFrame, *, max_lost: float = MAX_LOST) -> DataFrame:
     df = docs.select(as_row(docs).alias("row"), text.alias("__text"), word_list(F.col("text")).alias("__words"))
     df = _repeated(df).drop("__words")
     # words don't cross lines, so each is counted once, with its line
-    counted = F.transform(F.split("__text", "\n"), lambda x: F.struct(x.alias("line"), word_count(x).alias("n")))
+    counted = F.transform(F.split("__text", "\n"), lambda x: F.struct(x.alias("line"), word_count(x).alias("n"), symbol_count(x).alias("symbols")))
     df = df.withColumn("__counted", counted)
-    judged = F.transform("__counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), line_passes(x["line"], x["n"]).alias("good")))
-    df = df.withColumn("__judged", judged)
-    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    good = lambda x, p: line_passes(x["line"], x["n"], x["symbols"], p)
+    judged = lambda p: F.transform("__counted", lambda x: F.struct(x["line"].alias("line"), x["n"].alias("n"), x["symbols"].alias("symbols"), good(x, p).alias("good")))
+    df = df.withColumn("__judged", _once(_once(F.lower("__text"), _may_hold_phrases), judged))
+    total = lambda lines, what="n": F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + x[what])
     spoken = F.transform(F.filter("__judged", lambda x: x["n"] > 0), lambda x: x["line"])
     df = df.withColumns({"__n": total("__judged"), "__spoken": spoken})
     df = df.withColumn("__lost", total(F.filter("__judged", lambda x: ~x["good"])))
     failed = (F.col("__n") < 50) | (100 * F.col("__repeat") > 50 * F.col("__n"))
     found = {
         "n_words": F.col("__n"),
-        "word_chars": F.length(_without(F.col("__text"), BLANK)).cast("long"),
-        "n_symbols": (F.length("__text") - F.length(_without(F.col("__text"), SYMBOLS))).cast("long"),
+        "word_chars": F.length(F.regexp_replace("__text", SPACE + "+", "")).cast("long"),
+        "n_symbols": total("__judged", "symbols"),
         "n_dup_lines": (F.size("__spoken") - F.size(F.array_distinct("__spoken"))).cast("long"),
         "n_repeat_words": F.col("__repeat"),
         "base_failed": failed,

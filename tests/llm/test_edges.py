@@ -127,3 +127,7 @@ def test_staged_tables_go(spark):
 def test_numbers_are_dense(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert all(r.x == r.at for r in numbered(df, [F.col("x")], "at").collect())
+
+
+def test_every_phrase_holds_a_stem():
+    assert all(any(stem in phrase for stem in quality.STEMS) for phrase in quality.BOILERPLATE)
