@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ordered import folded
+from ..plans.staging import placed
 
 OPS = "queue string, seq long, now long, op string, id string, consumer_id string, payload binary, priority int, max_retries int, requeue boolean"
 RESULTS = "queue string, seq long, op string, id string, outcome string, retry_count int"
@@ -266,11 +267,8 @@ def names(operations: DataFrame) -> DataFrame:
 
 
 def delivery_order(messages: DataFrame) -> DataFrame:
-    """The order in which messages(queue, seq, priority) that are never requeued are delivered."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("queue").orderBy(F.col("priority").desc(), "seq")
-    return messages.withColumn("place", F.row_number().over(order) - 1)
+    """The order in which messages(queue, seq, priority) that are never requeued are delivered; no task orders a whole queue."""
+    return placed(messages, ["queue"], [F.col("priority").desc(), F.col("seq").asc()], "place")
 
 
 def stats(results: DataFrame) -> DataFrame:
