@@ -47,7 +47,7 @@ def test_long_texts_are_judged_and_scanned_whole(spark):
     assert {x.doc_id: x.base_labels for x in licenses.scan(d).collect()} == {1: "mit", 2: ""}
 
 
-def test_spans_are_verified_by_their_words(spark):
+def test_spans_are_verified_by_their_words(spark, monkeypatch):
     mit = licenses.TEMPLATES["mit"].split()
     opening, shuffled = " ".join(mit[:60]), list(mit)
     random.Random(1).shuffle(shuffled)
@@ -55,9 +55,10 @@ def test_spans_are_verified_by_their_words(spark):
     got = {x.doc_id: x for x in licenses.scan(d).collect()}
     assert got[1].labels == "mit" and got[1].score < 0.6  # a passage of a whole license
     assert got[2].labels == "" and got[3].score == 1.0
-    # a gram of another text with the same hash does not count
-    forged = licenses.template_grams(spark).filter("template = 'text:mit'").select("gram", F.lit("other").alias("first"))
-    assert forged.count() == len(licenses.TEMPLATES["mit"].replace("/", " ").replace("AS IS", "AS IS").split()) - 4
+    # grams with the same hashes but other words do not count
+    known = licenses.template_grams
+    monkeypatch.setattr(licenses, "template_grams", lambda *a: known(*a).withColumn("last", F.lit("other")))
+    assert {x.labels for x in licenses.scan(d).collect()} == {""}
 
 
 def test_many_sources_are_filled_in_one_pass(spark):
