@@ -867,7 +867,7 @@ def evict_lru(s, d):
 
 @query("SELECT event_id AS id, CAST(value AS BIGINT) AS duration_us FROM events WHERE CAST(value AS BIGINT) >= 50 ORDER BY event_id DESC LIMIT 100")
 def slowlog(s, d):
-    e = ks.table(s, d, "events").select(F.col("event_id").alias("id"), F.round("value").cast("long").alias("duration_us"))
+    e = ks.table(s, d, "events").select(F.col("event_id").alias("id"), F.rint("value").cast("long").alias("duration_us"))
     return governance.slowlog(e, 50, 100)
 
 
