@@ -8,6 +8,7 @@ query's checkpoint, one entry for each key.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha1
 
 import pandas as pd
 from pyspark.errors import StreamingQueryException
@@ -44,38 +45,39 @@ def assign_offsets(events: DataFrame, by: list[str], key: str = "room") -> DataF
 
 
 class _QueueFold(StatefulProcessor):
-    """A queue's messages as entries of their own: a batch rewrites only those it touched."""
+    """A queue's messages as entries of up to a segment of them: a batch rewrites only those it touched."""
 
     def __init__(self, limits: Limits) -> None:
         self.limits = limits
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # one entry a message, and one for what belongs to none
+        # one entry for each segment of messages
         self.entries = handle.getMapState("entries", "id string", "entry binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        before = {k[0]: bytes(v[0]) for k, v in self.entries.iterator()}
-        queue = Queue.unpacked(before, self.limits)
-        out = []
+        entries = {k[0]: bytes(v[0]) for k, v in self.entries.iterator()}
+        before = {name: sha1(entry).digest() for name, entry in entries.items()}
+        queue = Queue.unpacked(entries, self.limits)
+        del entries
+        columns = [part.split()[0] for part in RESULTS.split(", ")]
         for part in rows:  # a batch of a key's rows comes in order of seq where its files do
+            out = []
             for row in part.sort_values("seq", kind="stable").astype(object).where(part.notna(), None).to_dict("records"):
                 message, outcome, retries = queue.apply(row)
                 out.append((key[0], row["seq"], row["op"], message, outcome, retries))
-        after = queue.packed()
-        for name in before.keys() - after.keys():
-            self.entries.removeKey((name,))
-        for name, entry in after.items():
-            if before.get(name) != entry:
+            yield pd.DataFrame(out, columns=columns).astype({"retry_count": "Int32"})
+        for name, entry in queue.entries():
+            if before.pop(name, None) != sha1(entry).digest():
                 self.entries.updateValue((name,), (entry,))
-        columns = [part.split()[0] for part in RESULTS.split(", ")]
-        yield pd.DataFrame(out, columns=columns).astype({"retry_count": "Int32"})
+        for name in before:
+            self.entries.removeKey((name,))
 
     def close(self) -> None:
         pass
 
 
 def fold_queues(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Outcomes of queue operations as they arrive; each message is an entry of the queue's state.
+    """Outcomes of queue operations as they arrive; a segment of messages is an entry of the queue's state.
 
     Needs the RocksDB state store, ``spark.sql.streaming.stateStore.providerClass``.
     """

@@ -6,12 +6,18 @@ by one task; queues run beside each other, and a stream folds them incrementally
 
 from __future__ import annotations
 
+import marshal
+import os
 import pickle
+import tempfile
+from array import array
 from bisect import insort
 from collections import Counter, deque
-from collections.abc import Iterator
-from dataclasses import astuple, dataclass, field
-from heapq import heappop, heappush
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from heapq import heappop, heappush, merge
+from itertools import batched, groupby
+from typing import BinaryIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +27,10 @@ from ..plans.staging import placed
 
 OPS = "queue string, seq long, now long, op string, id string, consumer_id string, payload binary, priority int, max_retries int, requeue boolean"
 RESULTS = "queue string, seq long, op string, id string, outcome string, retry_count int"
+#: Messages of one entry of a queue's state.
+SEGMENT = 1024
+#: Messages due at once that are sorted in memory.
+SORTED = 200_000
 STATE = "queue string, id string, state string, place int, priority int, retry_count int, consumer_id string, ack_deadline long"
 
 
@@ -34,15 +44,103 @@ class Limits:
     prefetch: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class Message:
     id: str
     payload: bytes
     priority: int
     max_retries: int
     retries: int = 0
-    #: Where it stands among the ready ones of its run: counted up as they come.
+    #: Where it stands among the ready ones of its run, counted up as they come; in flight, which delivery of its queue it was.
     place: int = 0
+    #: Who holds it while it is in flight, and until when.
+    consumer: str | None = None
+    deadline: int | None = None
+
+    def values(self) -> tuple:
+        return self.id, self.payload, self.priority, self.max_retries, self.retries, self.place, self.consumer, self.deadline
+
+
+#: Stands for an absent id: no text's bytes.
+_NO_ID = b"\xff"
+
+
+def _bytes(message_id: str | None) -> bytes:
+    return _NO_ID if message_id is None else message_id.encode("utf-8", "surrogatepass")
+
+
+class Spill:
+    """A file on the task's own disk, made when first written to, for what its lines hold between their ends."""
+
+    def __init__(self) -> None:
+        self.file: BinaryIO | None = None
+        self.end = 0
+
+    def keep(self, values: Iterable[tuple]) -> tuple[int, int]:
+        """Where it is kept."""
+        data = marshal.dumps(list(values))
+        if self.file is None:
+            folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+            self.file = tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+        at = self.end
+        self.file.seek(at)
+        self.file.write(data)
+        self.end += len(data)
+        return at, len(data)
+
+    def kept(self, at: int, size: int) -> list[tuple]:
+        self.file.seek(at)
+        return marshal.loads(self.file.read(size))
+
+    def put(self, messages: Iterable[Message]) -> tuple[int, int]:
+        return self.keep(m.values() for m in messages)
+
+    def get(self, at: int, size: int) -> list[Message]:
+        return [Message(*values) for values in self.kept(at, size)]
+
+
+class Line:
+    """First in, first out: of a long line only both ends are in memory, the rest is spilled."""
+
+    #: Messages that are spilled, and read back, at once.
+    PART = 4096
+    __slots__ = ("spill", "head", "parts", "tail", "size")
+
+    def __init__(self, spill: Spill) -> None:
+        self.spill, self.size = spill, 0
+        self.head: deque[Message] = deque()
+        self.parts: deque[tuple[int, int]] = deque()
+        self.tail: list[Message] = []
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[Message]:
+        yield from self.head
+        for part in self.parts:
+            yield from self.spill.get(*part)
+        yield from self.tail
+
+    def append(self, message: Message) -> None:
+        self.size += 1
+        self.tail.append(message)
+        if len(self.tail) >= self.PART:
+            self.parts.append(self.spill.put(self.tail))
+            self.tail = []
+
+    def first(self) -> Message:
+        if not self.head:
+            if self.parts:
+                self.head.extend(self.spill.get(*self.parts.popleft()))
+            else:
+                self.head.extend(self.tail)
+                self.tail = []
+        return self.head[0]
+
+    def popleft(self) -> Message:
+        self.first()
+        self.size -= 1
+        return self.head.popleft()
 
 
 @dataclass
@@ -52,7 +150,8 @@ class Ready:
     A run is named by its first message's priority, so none is scanned to insert one.
     """
 
-    runs: dict[int, deque[Message]] = field(default_factory=dict)
+    spill: Spill = field(default_factory=Spill)
+    runs: dict[int, Line] = field(default_factory=dict)
     #: The runs' names, ascending: the front of the queue is the last one.
     lows: list[int] = field(default_factory=list)
     size: int = 0
@@ -67,7 +166,7 @@ class Ready:
 
     def _put(self, message: Message, low: int) -> None:
         if low not in self.runs:
-            self.runs[low] = deque()
+            self.runs[low] = Line(self.spill)
             insort(self.lows, low)
         self.runs[low].append(message)
 
@@ -92,8 +191,8 @@ class Ready:
         self.size -= 1
         # requeued ones of higher priority are now first: runs of their own, up to the next of this priority
         above = None
-        while run and run[0].priority > low:
-            above = run[0].priority if above is None else min(above, run[0].priority)
+        while run and run.first().priority > low:
+            above = run.first().priority if above is None else min(above, run.first().priority)
             self._put(run.popleft(), above)
         if not run:
             del self.runs[low]
@@ -101,19 +200,131 @@ class Ready:
         return message
 
 
+class Flight:
+    """Messages in flight by id, in the order of their deliveries: columns and a table of their slots, some 80 bytes a message.
+
+    A slot is one delivery's; slots of messages that are gone are closed up once they are half of all.
+    """
+
+    def __init__(self) -> None:
+        self.size = 0
+        #: The ids one after the other, and where each ends.
+        self.ids, self.ends = bytearray(), array("q")
+        self.places, self.deadlines = array("q"), array("q")
+        self.priorities, self.limits, self.retries = array("i"), array("i"), array("i")
+        #: The consumer's number in ``names``; -1 for a slot whose message is gone.
+        self.holders = array("i")
+        self.names: list[str | None] = []
+        self.numbers: dict[str | None, int] = {}
+        self.payloads: dict[int, bytes] = {}
+        #: Open addressing: a slot, or -1 where there never was one.
+        self.table, self.mask = array("i", [-1]) * 64, 63
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[Message]:
+        return (self.at(slot) for slot, holder in enumerate(self.holders) if holder >= 0)
+
+    def _id(self, slot: int) -> bytes:
+        return bytes(self.ids[self.ends[slot - 1] if slot else 0 : self.ends[slot]])
+
+    def id_of(self, slot: int) -> str | None:
+        name = self._id(slot)
+        return None if name == _NO_ID else name.decode("utf-8", "surrogatepass")
+
+    def at(self, slot: int) -> Message:
+        return Message(self.id_of(slot), self.payloads.get(slot), self.priorities[slot], self.limits[slot], self.retries[slot], self.places[slot], self.names[self.holders[slot]], self.deadlines[slot])
+
+    def find(self, message_id: str | None) -> int:
+        """The slot of the message, or -1."""
+        name, table, mask = _bytes(message_id), self.table, self.mask
+        at = hash(name) & mask
+        while (slot := table[at]) != -1:
+            if self.holders[slot] >= 0 and self._id(slot) == name:
+                return slot
+            at = (at + 1) & mask
+        return -1
+
+    def put(self, message: Message) -> int:
+        """The message's slot; one of the same id is replaced where it stands."""
+        slot = self.find(message.id)
+        if message.consumer not in self.numbers:
+            self.numbers[message.consumer] = len(self.names)
+            self.names.append(message.consumer)
+        values = self.numbers[message.consumer], message.priority, message.max_retries, message.retries, message.place, message.deadline
+        columns = self.holders, self.priorities, self.limits, self.retries, self.places, self.deadlines
+        if slot >= 0:
+            for column, value in zip(columns, values):
+                column[slot] = value
+            self.payloads.pop(slot, None)
+        else:
+            slot = len(self.holders)
+            self.ids += _bytes(message.id)
+            self.ends.append(len(self.ids))
+            for column, value in zip(columns, values):
+                column.append(value)
+            self.size += 1
+            self._file(slot)
+        if message.payload is not None:
+            self.payloads[slot] = message.payload
+        return slot
+
+    def _file(self, slot: int) -> None:
+        at = hash(self._id(slot)) & self.mask
+        while self.table[at] != -1:
+            at = (at + 1) & self.mask
+        self.table[at] = slot
+
+    def pop(self, slot: int) -> Message:
+        message = self.at(slot)
+        self.holders[slot] = -1
+        self.payloads.pop(slot, None)
+        self.size -= 1
+        return message
+
+    def crowded(self) -> bool:
+        """Whether the slots, gone ones too, need another table."""
+        return 3 * len(self.holders) > 2 * self.mask
+
+    def close_up(self) -> bool:
+        """Makes the table anew; where half of the slots are of messages that are gone these go, and slots change."""
+        moved = 2 * self.size <= len(self.holders)
+        if moved:
+            live = array("i", (slot for slot, holder in enumerate(self.holders) if holder >= 0))
+            self.payloads = {new: self.payloads[old] for new, old in enumerate(live) if old in self.payloads} if self.payloads else {}
+            ids, ends = bytearray(), array("q")
+            for slot in live:
+                ids += self._id(slot)
+                ends.append(len(ids))
+            self.ids, self.ends = ids, ends
+            for column in ("places", "deadlines", "priorities", "limits", "retries", "holders"):
+                old = getattr(self, column)
+                setattr(self, column, array(old.typecode, (old[slot] for slot in live)))
+        self.mask = 63
+        while self.mask < 2 * len(self.holders):
+            self.mask = 2 * self.mask + 1
+        self.table = array("i", [-1]) * (self.mask + 1)
+        for slot, holder in enumerate(self.holders):
+            if holder >= 0:
+                self._file(slot)
+        return moved
+
+
 @dataclass
 class Queue:
     """Ready messages in order of delivery, those in flight, and the dead."""
 
     limits: Limits
     ready: Ready = field(default_factory=Ready)
-    pending: dict[str, tuple[Message, str, int]] = field(default_factory=dict)
-    dead: list[Message] = field(default_factory=list)
-    #: A heap of (deadline, message) of all deliveries, and how many messages each consumer holds.
-    deadlines: list[tuple[int, str]] = field(default_factory=list)
+    pending: Flight = field(default_factory=Flight)
+    dead: Line = field(default_factory=lambda: Line(Spill()))
+    #: A heap of deadlines, the slots of the messages delivered with each, how many those are, and how many messages each consumer holds.
+    deadlines: list[int] = field(default_factory=list)
+    due: dict[int, array[int]] = field(default_factory=dict)
+    marked: int = 0
     holds: Counter[str] = field(default_factory=Counter)
-    #: When each message in flight was delivered, counted over the queue's life, for its entry.
-    since: dict[str, int] = field(default_factory=dict)
+    #: Deliveries over the queue's life.
     delivered: int = 0
 
     def publish(self, message: Message) -> str:
@@ -124,25 +335,42 @@ class Queue:
         return "published"
 
     def _release(self, message_id: str) -> Message | None:
-        held = self.pending.pop(message_id, None)
-        if not held:
-            return None
-        self.holds[held[1]] -= 1
-        self.since.pop(message_id, None)
-        return held[0]
+        slot = self.pending.find(message_id)
+        return None if slot < 0 else self._take(slot)
+
+    def _take(self, slot: int) -> Message:
+        message = self.pending.pop(slot)
+        self.holds[message.consumer] -= 1
+        message.consumer = message.deadline = None
+        return message
+
+    def _mark(self, slot: int, deadline: int) -> None:
+        if deadline not in self.due:
+            self.due[deadline] = array("i")
+            heappush(self.deadlines, deadline)
+        self.due[deadline].append(slot)
+        self.marked += 1
+
+    def _remark(self) -> None:
+        """Only the messages in flight keep their marks."""
+        self.due, self.deadlines, self.marked = {}, [], 0
+        for slot, holder in enumerate(self.pending.holders):
+            if holder >= 0:
+                self._mark(slot, self.pending.deadlines[slot])
 
     def consume(self, consumer: str, now: int) -> Message | None:
         if not self.ready or (self.limits.prefetch and self.holds[consumer] >= self.limits.prefetch):
             return None
         message = self.ready.pop()
-        deadline = now + self.limits.ack_deadline_secs
-        if message.id in self.pending:  # published twice: the later delivery counts
-            self.holds[self.pending[message.id][1]] -= 1
-        self.pending[message.id] = (message, consumer, deadline)
+        before = self.pending.find(message.id)
+        if before >= 0:  # published twice: the later delivery counts
+            self.holds[self.pending.names[self.pending.holders[before]]] -= 1
         self.delivered += 1
-        self.since[message.id] = self.delivered
+        message.place, message.consumer, message.deadline = self.delivered, consumer, now + self.limits.ack_deadline_secs
         self.holds[consumer] += 1
-        heappush(self.deadlines, (deadline, message.id))
+        self._mark(self.pending.put(message), message.deadline)
+        if self.pending.crowded() and self.pending.close_up() or self.marked > 2 * len(self.pending) + 1000:
+            self._remark()
         return message
 
     def ack(self, message_id: str) -> str:
@@ -151,8 +379,9 @@ class Queue:
     def nack(self, message_id: str, requeue: bool) -> str:
         """A retry more; beyond the limit it is dead, else at the back of the queue, or gone."""
         message = self._release(message_id)
-        if not message:
-            return "not found"
+        return self._back(message, requeue) if message else "not found"
+
+    def _back(self, message: Message, requeue: bool) -> str:
         message.retries += 1
         if message.retries > message.max_retries:
             self.dead.append(message)
@@ -162,15 +391,28 @@ class Queue:
             return "requeued"
         return "dropped"
 
-    def expire(self, now: int) -> list[str]:
+    def _by_id(self, slots: array[int]) -> Iterator[tuple[str, int]]:
+        """Marked slots of messages in flight by their ids; long ones are sorted part by part, on disk."""
+        told = lambda part: sorted((self.pending._id(slot), slot) for slot in part if self.pending.holders[slot] >= 0)
+        if len(slots) <= SORTED:
+            return iter(told(slots))
+        spill = Spill()
+        parts = [[spill.keep(x) for x in batched(told(slots[at : at + SORTED]), 1000)] for at in range(0, len(slots), SORTED)]
+        return merge(*[(x for part in one for x in spill.kept(*part)) for one in parts])
+
+    def expire(self, now: int, told: bool = True) -> list[str]:
         """Messages whose deadline has come are requeued, the earliest first."""
         due = []
-        while self.deadlines and self.deadlines[0][0] <= now:
-            deadline, message_id = heappop(self.deadlines)
-            held = self.pending.get(message_id)
-            if held and held[2] == deadline:  # not given back, nor delivered again since
-                self.nack(message_id, True)
-                due.append(message_id)
+        while self.deadlines and self.deadlines[0] <= now:
+            deadline = heappop(self.deadlines)
+            slots = self.due.pop(deadline)
+            self.marked -= len(slots)
+            for _, slot in self._by_id(slots):
+                if self.pending.holders[slot] >= 0 and self.pending.deadlines[slot] == deadline:  # not given back, nor delivered again since
+                    message = self._take(slot)
+                    self._back(message, True)
+                    if told:
+                        due.append(message.id)
         return due
 
     def purge(self) -> int:
@@ -181,11 +423,11 @@ class Queue:
     def apply(self, row: dict) -> tuple[str | None, str, int | None]:
         """(message, outcome, retries so far) of one operation."""
         op, now = row["op"], int(row["now"])
-        self.expire(now)
+        self.expire(now, told=False)
         if op == "publish":
             defaults = self.limits.default_priority, self.limits.default_max_retries
             priority, retries = (default if x is None or x != x else int(x) for x, default in zip((row["priority"], row["max_retries"]), defaults))
-            return row["id"], self.publish(Message(row["id"], row["payload"], priority, retries)), 0
+            return row["id"], self.publish(Message(row["id"], row.get("payload"), priority, retries)), 0
         if op == "consume":
             message = self.consume(row["consumer_id"], now)
             return (message.id, "delivered", message.retries) if message else (None, "empty", None)
@@ -198,55 +440,86 @@ class Queue:
         if op == "create":  # a queue that is there stays as it is
             return None, "created", None
         if op == "delete":
-            self.ready, self.pending, self.dead, self.deadlines, self.holds, self.since = Ready(), {}, [], [], Counter(), {}
+            self.ready, self.pending, self.dead, self.holds = Ready(), Flight(), Line(Spill()), Counter()
+            self._remark()
             return None, "deleted", None
         if op == "sweep":
             return None, "swept", None
         return row["id"], "unknown operation", None
 
+    def entries(self) -> Iterator[tuple[str, bytes]]:
+        """The queue as entries of up to ``SEGMENT`` messages, named by where those are: in a run of the ready, in flight, or dead.
+
+        Messages keep the segment they came to, so an operation changes few entries.
+        """
+        at = lambda m: m.place // SEGMENT
+        for low, run in self.ready.runs.items():
+            for segment, some in groupby(run, at):
+                yield f"ready {low} {segment}", pickle.dumps([m.values() for m in some])
+        places, held = self.pending.places, self.pending.holders
+        slots = sorted((slot for slot in range(len(held)) if held[slot] >= 0), key=places.__getitem__)
+        for segment, some in groupby(slots, lambda slot: places[slot] // SEGMENT):
+            yield f"pending {segment} 0", pickle.dumps([self.pending.at(slot).values() for slot in some])
+        for segment, some in groupby(enumerate(self.dead), lambda x: x[0] // SEGMENT):
+            yield f"dead {segment} 0", pickle.dumps([m.values() for _, m in some])
+
     def packed(self) -> dict[str, bytes]:
-        """The queue as entries, one a message, named by where it is: in a run of the ready, in flight, or dead."""
-        out = {f"ready {low} {m.place}": pickle.dumps(astuple(m)) for low, run in self.ready.runs.items() for m in run}
-        out |= {f"pending {self.since[i]} 0": pickle.dumps((astuple(m), who, deadline)) for i, (m, who, deadline) in self.pending.items()}
-        return out | {f"dead {i} 0": pickle.dumps(astuple(m)) for i, m in enumerate(self.dead)}
+        return dict(self.entries())
 
     @classmethod
     def unpacked(cls, entries: dict[str, bytes], limits: Limits) -> Queue:
         queue = cls(limits)
-        named = sorted((kind, int(one), int(two), entry) for (kind, one, two), entry in ((n.split(" "), e) for n, e in entries.items()))
-        for kind, one, two, entry in named:  # in the order of their places
-            value = pickle.loads(entry)
-            if kind == "pending":
-                message, who, deadline = Message(*value[0]), value[1], value[2]
-                queue.pending[message.id] = (message, who, deadline)
-                queue.since[message.id] = queue.delivered = one
-                queue.holds[who] += 1
-                heappush(queue.deadlines, (deadline, message.id))
-            elif kind == "ready":
-                queue.ready.runs.setdefault(one, deque()).append(Message(*value))
-                queue.ready.size += 1
-                queue.ready.came = max(queue.ready.came, two + 1)
-            else:
-                queue.dead.append(Message(*value))
+        for kind, one, two, name in sorted((kind, int(one), int(two), n) for n in entries for kind, one, two in [n.split(" ")]):  # in the order of their places
+            value = pickle.loads(entries[name])
+            if kind == "ready" and one not in queue.ready.runs:
+                queue.ready.runs[one] = Line(queue.ready.spill)
+            # a tuple is the single message of an entry written before entries held several
+            for message in [Message(*v) for v in value] if isinstance(value, list) else [cls._single(kind, one, value)]:
+                if kind == "pending":
+                    queue.pending.put(message)
+                    if queue.pending.crowded():
+                        queue.pending.close_up()
+                    queue.delivered = message.place
+                    queue.holds[message.consumer] += 1
+                elif kind == "ready":
+                    queue.ready.runs[one].append(message)
+                    queue.ready.size += 1
+                    queue.ready.came = max(queue.ready.came, message.place + 1)
+                else:
+                    queue.dead.append(message)
         queue.ready.lows = sorted(queue.ready.runs)
+        queue._remark()
         return queue
 
+    @staticmethod
+    def _single(kind: str, one: int, value: tuple) -> Message:
+        if kind != "pending":
+            return Message(*value)
+        message = Message(*value[0])
+        message.place, message.consumer, message.deadline = one, value[1], value[2]
+        return message
+
     def rows(self, name: str) -> Iterator[tuple]:
         for i, m in enumerate(self.ready):
             yield name, m.id, "ready", i, m.priority, m.retries, None, None
-        for i, (m, who, deadline) in enumerate(self.pending.values()):
-            yield name, m.id, "pending", i, m.priority, m.retries, who, deadline
+        for i, m in enumerate(self.pending):
+            yield name, m.id, "pending", i, m.priority, m.retries, m.consumer, m.deadline
         for i, m in enumerate(self.dead):
             yield name, m.id, "dead", i, m.priority, m.retries, None, None
 
 
+def _folded(operations: DataFrame, limits: Limits, step: Callable, finish: Callable, schema: str) -> DataFrame:
+    """No result shows a payload, so none is carried along."""
+    return folded(operations.drop("payload"), "queue", lambda: Queue(limits), step, finish, schema, large=True)
+
+
 def outcomes(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """What each operation did: queue, seq, op, id, outcome, retry_count."""
 
     def step(queue: Queue, row: dict) -> list[tuple]:
         return [(row["queue"], row["seq"], row["op"], *queue.apply(row))]
 
-    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: [], RESULTS)
+    return _folded(operations, limits, step, lambda queue, name: [], RESULTS)
 
 
 def state_after(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -256,7 +529,7 @@ def state_after(operations: DataFrame, limits: Limits = Limits()) -> DataFrame:
         queue.apply(row)
         return []
 
-    return folded(operations, "queue", lambda: Queue(limits), step, lambda queue, name: list(queue.rows(name)), STATE)
+    return _folded(operations, limits, step, Queue.rows, STATE)
 
 
 def names(operations: DataFrame) -> DataFrame:
