@@ -44,6 +44,19 @@ def assign_offsets(events: DataFrame, by: list[str], key: str = "room") -> DataF
     return events.groupBy(key).applyInPandasWithState(run, schema, "following long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _records(part: pd.DataFrame) -> Iterator[dict]:
+    """Rows as dicts in which absent values are None."""
+
+    def values(column: pd.Series) -> list:
+        absent = column.isna()
+        if absent.all():
+            return [None] * len(column)
+        return column.astype(object).where(~absent, None).tolist() if absent.any() else column.tolist()
+
+    names = list(part.columns)
+    return (dict(zip(names, row)) for row in zip(*(values(part[name]) for name in names)))
+
+
 class _QueueFold(StatefulProcessor):
     """A queue's messages as entries of up to a segment of them: a batch rewrites only those it touched."""
 
@@ -62,7 +75,7 @@ class _QueueFold(StatefulProcessor):
         columns = [part.split()[0] for part in RESULTS.split(", ")]
         for part in rows:  # a batch of a key's rows comes in order of seq where its files do
             out = []
-            for row in part.sort_values("seq", kind="stable").astype(object).where(part.notna(), None).to_dict("records"):
+            for row in _records(part.sort_values("seq", kind="stable")):
                 message, outcome, retries = queue.apply(row)
                 out.append((key[0], row["seq"], row["op"], message, outcome, retries))
             yield pd.DataFrame(out, columns=columns).astype({"retry_count": "Int32"})

@@ -236,39 +236,49 @@ class Flight:
     def at(self, slot: int) -> Message:
         return Message(self.id_of(slot), self.payloads.get(slot), self.priorities[slot], self.limits[slot], self.retries[slot], self.places[slot], self.names[self.holders[slot]], self.deadlines[slot])
 
-    def find(self, message_id: str | None) -> int:
-        """The slot of the message, or -1."""
-        name, table, mask = _bytes(message_id), self.table, self.mask
+    def _seek(self, name: bytes) -> tuple[int, int]:
+        """The slot of the message, or -1, and where the table ends looking for it."""
+        table, mask, holders, ids, ends = self.table, self.mask, self.holders, self.ids, self.ends
         at = hash(name) & mask
         while (slot := table[at]) != -1:
-            if self.holders[slot] >= 0 and self._id(slot) == name:
-                return slot
+            if holders[slot] >= 0 and ids[ends[slot - 1] if slot else 0 : ends[slot]] == name:
+                return slot, at
             at = (at + 1) & mask
-        return -1
+        return -1, at
 
-    def put(self, message: Message) -> int:
-        """The message's slot; one of the same id is replaced where it stands."""
-        slot = self.find(message.id)
-        if message.consumer not in self.numbers:
-            self.numbers[message.consumer] = len(self.names)
+    def find(self, message_id: str | None) -> int:
+        """The slot of the message, or -1."""
+        return self._seek(_bytes(message_id))[0]
+
+    def put(self, message: Message) -> tuple[int, str | None, bool]:
+        """The message's slot; one of the same id is replaced where it stands: who held it, and whether there was one."""
+        name = _bytes(message.id)
+        slot, at = self._seek(name)
+        holder = self.numbers.get(message.consumer)
+        if holder is None:
+            holder = self.numbers[message.consumer] = len(self.names)
             self.names.append(message.consumer)
-        values = self.numbers[message.consumer], message.priority, message.max_retries, message.retries, message.place, message.deadline
-        columns = self.holders, self.priorities, self.limits, self.retries, self.places, self.deadlines
-        if slot >= 0:
-            for column, value in zip(columns, values):
-                column[slot] = value
+        before, there = None, slot >= 0
+        if there:
+            before = self.names[self.holders[slot]]
             self.payloads.pop(slot, None)
+            self.holders[slot], self.priorities[slot], self.limits[slot] = holder, message.priority, message.max_retries
+            self.retries[slot], self.places[slot], self.deadlines[slot] = message.retries, message.place, message.deadline
         else:
             slot = len(self.holders)
-            self.ids += _bytes(message.id)
+            self.ids += name
             self.ends.append(len(self.ids))
-            for column, value in zip(columns, values):
-                column.append(value)
+            self.holders.append(holder)
+            self.priorities.append(message.priority)
+            self.limits.append(message.max_retries)
+            self.retries.append(message.retries)
+            self.places.append(message.place)
+            self.deadlines.append(message.deadline)
             self.size += 1
-            self._file(slot)
+            self.table[at] = slot
         if message.payload is not None:
             self.payloads[slot] = message.payload
-        return slot
+        return slot, before, there
 
     def _file(self, slot: int) -> None:
         at = hash(self._id(slot)) & self.mask
@@ -276,12 +286,14 @@ class Flight:
             at = (at + 1) & self.mask
         self.table[at] = slot
 
-    def pop(self, slot: int) -> Message:
-        message = self.at(slot)
+    def drop(self, slot: int) -> str | None:
+        """Who held it."""
+        holder = self.names[self.holders[slot]]
         self.holders[slot] = -1
-        self.payloads.pop(slot, None)
+        if self.payloads:
+            self.payloads.pop(slot, None)
         self.size -= 1
-        return message
+        return holder
 
     def crowded(self) -> bool:
         """Whether the slots, gone ones too, need another table."""
@@ -334,21 +346,18 @@ class Queue:
         self.ready.insert(message)
         return "published"
 
-    def _release(self, message_id: str) -> Message | None:
-        slot = self.pending.find(message_id)
-        return None if slot < 0 else self._take(slot)
-
     def _take(self, slot: int) -> Message:
-        message = self.pending.pop(slot)
-        self.holds[message.consumer] -= 1
+        message = self.pending.at(slot)
         message.consumer = message.deadline = None
+        self.holds[self.pending.drop(slot)] -= 1
         return message
 
     def _mark(self, slot: int, deadline: int) -> None:
-        if deadline not in self.due:
-            self.due[deadline] = array("i")
+        slots = self.due.get(deadline)
+        if slots is None:
+            slots = self.due[deadline] = array("i")
             heappush(self.deadlines, deadline)
-        self.due[deadline].append(slot)
+        slots.append(slot)
         self.marked += 1
 
     def _remark(self) -> None:
@@ -362,24 +371,28 @@ class Queue:
         if not self.ready or (self.limits.prefetch and self.holds[consumer] >= self.limits.prefetch):
             return None
         message = self.ready.pop()
-        before = self.pending.find(message.id)
-        if before >= 0:  # published twice: the later delivery counts
-            self.holds[self.pending.names[self.pending.holders[before]]] -= 1
         self.delivered += 1
         message.place, message.consumer, message.deadline = self.delivered, consumer, now + self.limits.ack_deadline_secs
+        slot, before, there = self.pending.put(message)
+        if there:  # published twice: the later delivery counts
+            self.holds[before] -= 1
         self.holds[consumer] += 1
-        self._mark(self.pending.put(message), message.deadline)
+        self._mark(slot, message.deadline)
         if self.pending.crowded() and self.pending.close_up() or self.marked > 2 * len(self.pending) + 1000:
             self._remark()
         return message
 
     def ack(self, message_id: str) -> str:
-        return "acked" if self._release(message_id) else "not found"
+        slot = self.pending.find(message_id)
+        if slot < 0:
+            return "not found"
+        self.holds[self.pending.drop(slot)] -= 1
+        return "acked"
 
     def nack(self, message_id: str, requeue: bool) -> str:
         """A retry more; beyond the limit it is dead, else at the back of the queue, or gone."""
-        message = self._release(message_id)
-        return self._back(message, requeue) if message else "not found"
+        slot = self.pending.find(message_id)
+        return "not found" if slot < 0 else self._back(self._take(slot), requeue)
 
     def _back(self, message: Message, requeue: bool) -> str:
         message.retries += 1
@@ -423,10 +436,12 @@ class Queue:
     def apply(self, row: dict) -> tuple[str | None, str, int | None]:
         """(message, outcome, retries so far) of one operation."""
         op, now = row["op"], int(row["now"])
-        self.expire(now, told=False)
+        if self.deadlines and self.deadlines[0] <= now:
+            self.expire(now, told=False)
         if op == "publish":
-            defaults = self.limits.default_priority, self.limits.default_max_retries
-            priority, retries = (default if x is None or x != x else int(x) for x, default in zip((row["priority"], row["max_retries"]), defaults))
+            priority, retries = row["priority"], row["max_retries"]
+            priority = self.limits.default_priority if priority is None or priority != priority else int(priority)
+            retries = self.limits.default_max_retries if retries is None or retries != retries else int(retries)
             return row["id"], self.publish(Message(row["id"], row.get("payload"), priority, retries)), 0
         if op == "consume":
             message = self.consume(row["consumer_id"], now)
